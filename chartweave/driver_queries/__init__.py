@@ -1,0 +1,4 @@
+"""Queries over the driver's tables, by group."""
+
+from chartweave.driver_queries import mapping  # noqa: F401
+from chartweave.driver_queries.base import QUERIES, SQL  # noqa: F401

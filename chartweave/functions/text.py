@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,11 +69,8 @@ def clean_numeric(col: Column | str) -> Column:
 def format_phone(col: Column | str) -> Column:
     """FN-03. ``(XXX) XXX-XXXX`` for 10 digits, or 11 with a leading 1."""
     digits = F.regexp_replace(_c(col), "[^0-9]", "")
-    ten = F.when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10)).otherwise(digits)
-    pretty = F.concat(
-        F.lit("("), F.substring(ten, 1, 3), F.lit(") "), F.substring(ten, 4, 3), F.lit("-"), F.substring(ten, 7, 4)
-    )
-    return F.when(F.length(ten) == 10, pretty).otherwise(clean_cell(col))
+    pretty = F.regexp_replace(digits, r"^1?(\d{3})(\d{3})(\d{4})$", "($1) $2-$3")
+    return F.when(pretty.startswith("("), pretty).otherwise(clean_cell(col))
 
 
 @F.pandas_udf(T.StringType())
@@ -101,22 +99,41 @@ def _tag(names: tuple[str, ...], close: str) -> str:
     return rf"""(?i)<{close}(?:{alternatives})(?=[\s/>])[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
 
 
-def html_to_text(col: Column | str) -> Column:
-    """FN-04. Readable text of an HTML fragment, NULL when nothing is left."""
-    nl = "\u0001"
-    text = _c(col)
+_BREAK = "\u0001"
+
+
+def _html_structure(text: Column) -> Column:
+    """Tags to line breaks and spaces; references are still encoded."""
     text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\z)", "")
-    text = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", "")
-    text = F.regexp_replace(text, r"(?s)<[!?][^>]*+>", "")
-    text = F.regexp_replace(text, _tag(PARAGRAPH_TAGS, "/?"), nl)
-    text = F.regexp_replace(text, _tag(LINE_TAGS, ""), nl)
+    text = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)|<[!?][^>]*+>", "")
+    text = F.regexp_replace(text, _tag(PARAGRAPH_TAGS, "/?"), _BREAK)
+    text = F.regexp_replace(text, _tag(LINE_TAGS, ""), _BREAK)
     text = F.regexp_replace(text, _tag(CELL_TAGS, "/?"), " ")
-    text = F.regexp_replace(text, _ANY_TAG, "")
-    text = decode_entities(text)
+    return F.regexp_replace(text, _ANY_TAG, "")
+
+
+def _html_lines(text: Column) -> Column:
     text = F.regexp_replace(text, f"[{_WS}]+", " ")
-    text = F.regexp_replace(text, f" *{nl} *", "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return blank_to_null(strip(text))
+    text = F.regexp_replace(text, f" *{_BREAK} *", "\n")
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+
+
+def html_to_text(col: Column | str) -> Column:
+    """FN-04. Readable text of an HTML fragment, NULL when nothing is left."""
+    return blank_to_null(_html_lines(decode_entities(_html_structure(_c(col)))))
+
+
+def with_html_text(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+    """FN-04 for several columns of a table, each step computed once per row.
+
+    A column function repeats its input where it is used twice. Here every
+    step is a column of its own, so long notes are rewritten only once.
+    """
+    df = df.withColumns({f"_h_{out}": _html_structure(col) for out, col in cols.items()})
+    df = df.withColumns({f"_d_{out}": decode_entities(f"_h_{out}") for out in cols})
+    df = df.withColumns({f"_t_{out}": _html_lines(F.col(f"_d_{out}")) for out in cols})
+    df = df.withColumns({out: blank_to_null(f"_t_{out}") for out in cols})
+    return df.drop(*[f"_{k}_{out}" for out in cols for k in "hdt"])
 
 
 def escape_html(col: Column | str) -> Column:
@@ -127,18 +144,36 @@ def escape_html(col: Column | str) -> Column:
     return text
 
 
-def sanitize_note_html(col: Column | str) -> Column:
-    """FN-15. Repair note HTML for display; plain text is escaped."""
-    raw = strip(F.coalesce(_c(col), F.lit("")))
-    raw = F.replace(F.replace(raw, F.lit("\\\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n"))
-    plain = strip(F.replace(escape_html(raw), F.lit("\n"), F.lit("<br>")))
+def _note_raw(text: Column) -> Column:
+    raw = strip(F.coalesce(text, F.lit("")))
+    return F.replace(F.replace(raw, F.lit("\\\\n"), F.lit("\n")), F.lit("\\n"), F.lit("\n"))
+
+
+def _note_rich(raw: Column) -> Column:
     rich = F.regexp_replace(raw, STRAY_NEWLINE, "<br>\n")
     for pattern in EMPTY_BLOCKS:
         rich = F.regexp_replace(rich, pattern, "")
-    wrapped = F.when(rich.contains(RICH_TEXT_CLASS), rich).otherwise(
-        F.concat(F.lit(f'<div class="{RICH_TEXT_CLASS}">'), rich, F.lit("</div>"))
-    )
-    return F.when(raw.contains("<"), strip(wrapped)).otherwise(plain)
+    return rich
+
+
+def _note_final(raw: Column, rich: Column) -> Column:
+    wrapper = F.concat(F.lit(f'<div class="{RICH_TEXT_CLASS}">'), rich, F.lit("</div>"))
+    plain = strip(F.replace(escape_html(raw), F.lit("\n"), F.lit("<br>")))
+    return F.when(~raw.contains("<"), plain).when(rich.contains(RICH_TEXT_CLASS), strip(rich)).otherwise(wrapper)
+
+
+def sanitize_note_html(col: Column | str) -> Column:
+    """FN-15. Repair note HTML for display; plain text is escaped."""
+    raw = _note_raw(_c(col))
+    return _note_final(raw, _note_rich(raw))
+
+
+def with_note_html(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+    """FN-15 for several columns of a table, each step computed once per row."""
+    df = df.withColumns({f"_r_{out}": _note_raw(col) for out, col in cols.items()})
+    df = df.withColumns({f"_n_{out}": _note_rich(F.col(f"_r_{out}")) for out in cols})
+    df = df.withColumns({out: _note_final(F.col(f"_r_{out}"), F.col(f"_n_{out}")) for out in cols})
+    return df.drop(*[f"_{k}_{out}" for out in cols for k in "rn"])
 
 
 def safe_token(col: Column | str, fallback: Column | str | None = None) -> Column:

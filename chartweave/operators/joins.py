@@ -41,8 +41,9 @@ def paged_collect(
     numbered = block_scan(child, keys, order, block, {"_rn": ("row_number", None)})
     page = F.floor((F.col("_rn") - 1) / page_rows).cast("bigint")
     packed = numbered.withColumn("page", page).withColumn("_e", F.struct(F.col("_rn").alias("rn"), item.alias("v")))
-    lists = packed.groupBy(*keys, "page").agg(F.sort_array(F.collect_list("_e")).alias("_l"))
-    return lists.select(*keys, "page", F.transform("_l", lambda e: e["v"]).alias(as_))
+    lists = packed.groupBy(*keys, "page").agg(F.collect_list("_e").alias("_l"))
+    in_order = F.array_sort("_l", lambda a, b: F.when(a["rn"] < b["rn"], -1).when(a["rn"] > b["rn"], 1).otherwise(0))
+    return lists.select(*keys, "page", F.transform(in_order, lambda e: e["v"]).alias(as_))
 
 
 def attach(

@@ -16,7 +16,7 @@ from chartweave.functions.codes import (
     BENEFIT_ORDER, PAIN_CODES, VITAL_DISPLAY_BY_CODE, extract_icd10, extract_snomed, lookup, pain_display, plan_type_suffix,
 )
 from chartweave.functions.dates import parse_date, parse_dt
-from chartweave.functions.text import clean_cell, clean_numeric, format_phone, html_to_text, sanitize_note_html
+from chartweave.functions.text import clean_cell, clean_numeric, format_phone, with_html_text, with_note_html
 from chartweave.operators.filters import has_note, skip_reason, split_by_reason
 from chartweave.operators.folds import (
     derive_bmi, display_date, distinct_in_order, paged_concat, resolve_status, script_prefix, social_history,
@@ -33,16 +33,22 @@ class Row:
     """Cleaned columns of one raw table; a column the file lacks is NULL."""
 
     def __init__(self, df: DataFrame, table: str, mapped: str) -> None:
-        self.df, self.table, self.mapped = df, table, mapped.split()
+        self.table, self.mapped = table, mapped.split()
+        self.columns = [c for c in df.columns if not c.startswith("__")]
+        # Each consumed cell is cleaned once, in a column of its own.
+        used = [c for c in self.columns if c in self.mapped]
+        self.df = df.withColumns({f"__{c}": clean_cell(F.col(f"`{c}`")) for c in used}) if used else df
 
     def has(self, col: str) -> bool:
-        return col in self.df.columns
+        return col in self.columns
 
     def raw(self, col: str) -> Column:
         return F.col(f"`{col}`") if self.has(col) else F.lit(None).cast("string")
 
     def text(self, col: str) -> Column:
-        return clean_cell(self.raw(col))
+        if not self.has(col):
+            return F.lit(None).cast("string")
+        return F.col(f"`__{col}`") if col in self.mapped else clean_cell(self.raw(col))
 
     def number(self, col: str) -> Column:
         return clean_numeric(self.raw(col))
@@ -57,7 +63,7 @@ class Row:
         return parse_dt(self.raw(col)) if self.has(col) else F.lit(None).cast("timestamp")
 
     def extensions(self, keep: tuple[str, ...] = ()) -> Column:
-        return residual(self.df.columns, [m for m in self.mapped if m not in keep], NS).alias("extensions")
+        return residual(self.columns, [m for m in self.mapped if m not in keep], NS).alias("extensions")
 
     def provenance(self, source_id: Column) -> Column:
         return F.struct(
@@ -170,13 +176,19 @@ def map_patient_notes(tables: Tables, page_rows: int = PAGE_ROWS) -> DataFrame:
 SOAP = (("Subjective", "subjective"), ("Objective", "objective"), ("Assessment", "assessment"), ("Plan", "plan"))
 
 
+def add_section_text(r: Row) -> None:
+    """Rich HTML and plain text of each note column, as columns of the row."""
+    r.df = with_note_html(r.df, {f"__html_{col}": r.text(col) for col, _ in SOAP})
+    r.df = with_html_text(r.df, {f"__text_{col}": r.text(col) for col, _ in SOAP})
+
+
 def build_sections(r: Row) -> Column:
     """NST-13. Four sections of a SOAP note, or one narrative section."""
 
     def section(col: str, kind: str, title: str | None) -> Column:
-        html = F.nullif(sanitize_note_html(r.text(col)), F.lit(""))
         return F.struct(
-            F.lit(kind).alias("kind"), F.lit(title).cast("string").alias("title"), html.alias("html"), html_to_text(r.text(col)).alias("text")
+            F.lit(kind).alias("kind"), F.lit(title).cast("string").alias("title"),
+            F.nullif(F.col(f"__html_{col}"), F.lit("")).alias("html"), F.col(f"__text_{col}").alias("text"),
         )
 
     soap = F.array(*[section(col, kind, col) for col, kind in SOAP])
@@ -189,6 +201,7 @@ def map_encounters(tables: Tables) -> DataFrame:
         "PatientPracticeGuid EncounterGuid DateOfService ChiefComplaint Subjective Objective Assessment Plan "
         "SignedByProviderGuid SignedDateTimeUtc SeenByProviderGuid FacilityGuid ChartNoteType IsSoapNote LastModifiedDateTimeUtc"
     ))
+    add_section_text(r)
     return r.select(
         F.col("EncounterGuid").alias("encounter_id"), F.col("PatientPracticeGuid").alias("patient_id"),
         r.date("DateOfService").alias("date_of_service"), r.text("ChiefComplaint").alias("chief_complaint"),
@@ -202,9 +215,10 @@ def map_encounters(tables: Tables) -> DataFrame:
 
 def map_addenda(tables: Tables) -> DataFrame:
     """MAP-02. Addenda of encounters, in source order."""
-    r = Row(keyed(tables["patient-encounter-addendums"], "EncounterGuid"), "patient-encounter-addendums", "EncounterGuid")
+    r = Row(keyed(tables["patient-encounter-addendums"], "EncounterGuid"), "patient-encounter-addendums", "EncounterGuid Addendum")
+    r.df = with_html_text(r.df, {"__text": r.text("Addendum")})
     return r.df.select(
-        F.col("EncounterGuid").alias("encounter_id"), html_to_text(r.text("Addendum")).alias("text"),
+        F.col("EncounterGuid").alias("encounter_id"), F.col("__text").alias("text"),
         r.text("AmendmentStatus").alias("status"), F.lit(None).cast("string").alias("author_name"),
         F.lit(None).cast("string").alias("author_credential"), r.text("AmendmentSource").alias("source"),
         r.moment("LastModifiedDateTimeUtc").alias("at"), "_ord",

@@ -26,6 +26,7 @@ def local_session(app: str = "chartweave", cores: int = 8, **conf: str) -> Spark
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", scratch)
         .config(CHECKPOINT_CONF, os.path.join(scratch, "checkpoints"))
     )
