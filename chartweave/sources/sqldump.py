@@ -30,7 +30,7 @@ DATA_FOLDERS = ("activity", "reference")
 HEAD = r"INSERT\s+(?:IGNORE\s+)?INTO\s+`?(\w+)`?\s*(?:\(([^)]*)\)\s*)?VALUES"
 _HEAD = re.compile(HEAD, re.IGNORECASE)
 _SPACE = re.compile(r"\s*")
-_VALUE = re.compile(r"\s*(?:'((?:[^'\\]+|\\.|'')*)'|([^,()'\s][^,()]*))\s*([,)])", re.DOTALL)
+_VALUE = re.compile(r"\s*(?:'((?:[^'\\]++|\\.|'')*+)'|([^,()'\s][^,()]*))\s*([,)])", re.DOTALL)
 _ESCAPE = re.compile(r"\\(.)|''", re.DOTALL)
 # Escapes that do not stand for themselves.
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "b": "\b", "Z": "\x1a"}
