@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from chartweave.functions.codes import lookup
 from chartweave.functions.dates import fhir_date, fhir_datetime
 from chartweave.functions.references import ref_id
-from chartweave.functions.text import decode_attachment, html_to_text, num_str, strip
+from chartweave.functions.text import decode_attachment, num_str, strip, with_html_text
 from chartweave.operators.joins import adopt_unanchored, anchor, cited_actors, paged_collect
 from chartweave.operators.windows import order_block
+from chartweave.session import cut_lineage
 
 NS = "fhir_r4"
 # Code systems with the spellings exports use.
@@ -302,20 +303,24 @@ def map_documents(resources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     A note is the first attachment of a text kind that decodes to visible
     text. Markup is reduced to text and never kept as HTML.
     """
-    d = parsed(resources, "DocumentReference", DOCUMENT).select(
+    d = parsed(resources, "DocumentReference", DOCUMENT)
+    parts = d.select(
         "id", "patient_id", "source_file", "_ord", "body", concept_text(F.col("r.type")).alias("_type"), F.col("r.date").alias("_date"),
-        ref_id(first(F.col("r.context.encounter"))["reference"]).alias("encounter_id"), F.col("r.content").alias("_content"))
-    parts = d.select("id", "patient_id", "_ord", F.posexplode("_content").alias("i", "c")).select("id", "_ord", "i", F.col("c.attachment").alias("a"), F.lower(F.coalesce("c.attachment.contentType", F.lit(""))).alias("ct"))
-    parts = parts.filter(F.col("a").isNotNull())
-    wordy = F.col("ct").startswith("text/") | F.col("ct").contains("html") | (F.col("ct") == "")
-    decoded = parts.filter(wordy).withColumn("_raw", decode_attachment("a.data"))
-    text = strip(F.when(F.col("ct").contains("html"), html_to_text("_raw")).otherwise(F.col("_raw")))
-    notes = decoded.withColumn("text", F.nullif(text, F.lit(""))).filter(F.col("text").isNotNull())
-    pick = notes.groupBy("_ord").agg(F.min_by(F.struct(F.col("a.title").alias("title"), "text"), "i").alias("n"))
-    binary = parts.filter(~(F.col("ct").startswith("text/") | F.col("ct").contains("html")))
-    bin_pick = binary.groupBy("_ord").agg(F.min_by(F.struct("a", "ct"), "i").alias("b"))
+        ref_id(first(F.col("r.context.encounter"))["reference"]).alias("encounter_id"), F.posexplode_outer("r.content").alias("i", "c"))
+    ct = F.lower(F.coalesce("c.attachment.contentType", F.lit("")))
+    has = F.col("c.attachment").isNotNull()
+    wordy = ct.startswith("text/") | ct.contains("html") | (ct == "")
+    parts = parts.withColumns({"ct": ct, "_raw": F.when(has & wordy, decode_attachment("c.attachment.data")), "_bin": has & ~(ct.startswith("text/") | ct.contains("html"))})
+    parts = with_html_text(parts, {"_html": F.when(F.col("ct").contains("html"), F.col("_raw"))})
+    text = F.nullif(strip(F.when(F.col("ct").contains("html"), F.col("_html")).otherwise(F.col("_raw"))), F.lit(""))
+    parts = parts.withColumn("text", text)
+    # One aggregation per document picks its first readable and first binary part.
+    keep = ["id", "patient_id", "source_file", "body", "_type", "_date", "encounter_id"]
+    full = parts.groupBy("_ord").agg(
+        *[F.first(c).alias(c) for c in keep],
+        F.min_by(F.struct(F.col("c.attachment.title").alias("title"), "text"), F.when(F.col("text").isNotNull(), F.col("i"))).alias("n"),
+        F.min_by(F.struct(F.col("c.attachment").alias("a"), "ct"), F.when(F.col("_bin"), F.col("i"))).alias("b"))
     ext = fhir_residual("content context")
-    full = d.join(pick, "_ord", "left").join(bin_pick, "_ord", "left")
     note_rows = full.filter(F.col("n").isNotNull()).select(
         "id", "patient_id", "encounter_id", F.coalesce("n.title", "_type").alias("title"), F.col("n.text").alias("text"), fhir_date("_date").alias("date_of_service"), ext.alias("extensions"), "source_file", "_ord")
     rest = full.filter(F.col("n").isNull())
@@ -344,13 +349,18 @@ def preserve_unmapped(resources: DataFrame, page_rows: int = 1000) -> DataFrame:
     return paged_collect(rest, ["patient_id", "resource_type"], F.col("body"), ["_ord"], order_block("_ord"), page_rows, "bodies")
 
 
-def map_fhir(resources: DataFrame) -> dict[str, DataFrame]:
-    """Every canonical table of a FHIR export."""
+def map_fhir(resources: DataFrame, materialise: bool = True) -> dict[str, DataFrame]:
+    """Every canonical table of a FHIR export.
+
+    The tables share the parsed resources, so those are written once to the
+    checkpoint folder instead of being parsed again by each of them. Pass
+    ``materialise=False`` for a table that is already stored.
+    """
+    resources = cut_lineage(resources) if materialise else resources
     patients = map_patients(resources)
     scoped = resources.filter(~F.col("resource_type").isin(*SHARED))
-    anchored, _ = anchor(scoped.filter(F.col("patient_id").isNotNull()), patients)
-    loose = scoped.filter(F.col("patient_id").isNull()).unionByName(anchor(scoped.filter(F.col("patient_id").isNotNull()), patients)[1].select(*scoped.columns))
-    anchored = anchored.select(*scoped.columns)
+    anchored, loose = anchor(scoped, patients)
+    anchored, loose = anchored.select(*scoped.columns), loose.select(*scoped.columns)
     encounters = map_encounters(anchored)
     notes, artifacts, leftover = map_documents(anchored)
     placed, made = attach_notes(notes, encounters)
