@@ -22,8 +22,8 @@ COLUMN_TOLERANCE = 1.0
 STATIC_SHARE = 0.6
 TOP_SHARE = 0.15
 MAX_COLUMNS = 6
-BAND_LUMINANCE = (225.0, 250.0)
-WHITE = 250
+BAND_LUMINANCE = (200.0, 252.0)
+WHITE = 0xF8
 DEFAULT_BAND = "#f1f1f1"
 # Label patterns and the field each one names, in order.
 LABEL_PATTERNS = (
