@@ -60,7 +60,7 @@ def pattern_findings(df: DataFrame, allow: DataFrame | None = None, path: str =
     ``fixture`` marks texts where phones and birth dates are expected.
     """
     base = df.select(path, text, (F.lit(False) if fixture is None else fixture).alias("_fix"))
-    guid = base.select(path, F.lit("guid").alias("kind"), F.lower(_matches(text, GUID)).alias("value"))
+    guid = base.select(path, F.lit("guid").alias("kind"), F.explode(F.transform(_all(text, GUID), F.lower)).alias("value"))
     guid = guid.filter(~F.col("value").startswith(SYNTHETIC_GUIDS[0]) & ~F.col("value").startswith(SYNTHETIC_GUIDS[1]))
     ssn = base.select(path, F.lit("ssn").alias("kind"), _matches(text, SSN).alias("value"))
     area = F.substring("value", 1, 3).cast("int")
