@@ -84,7 +84,7 @@ def check_vitals(spark, sf):
 
 @query("date_staleness", """
 WITH s AS (SELECT unnest(list_distinct([strftime(DATE '2020-03-01', '%B %d, %Y'), strftime(DATE '2020-03-01', '%b %d, %Y'), strftime(DATE '2020-03-01', '%B %-d, %Y'), strftime(DATE '2020-03-01', '%b %-d, %Y'), strftime(DATE '2020-03-01', '%m/%d/%Y'), strftime(DATE '2020-03-01', '%m-%d-%Y'), strftime(DATE '2020-03-01', '%-m/%-d/%Y')])) AS sp),
-t AS (SELECT doc_id, DATE '2020-01-01' + CAST(doc_id % 700 AS INT) AS dos, CASE doc_id % 5 WHEN 0 THEN 'printed March 1, 2020.' WHEN 1 THEN 'on 03/01/2020' WHEN 2 THEN 'id 103/01/2020' ELSE '' END AS stamp FROM documents),
+t AS (SELECT doc_id, DATE '2020-01-01' + CAST(doc_id % 700 AS INT) AS dos, CASE doc_id % 5 WHEN 0 THEN 'printed March 1, 2020 ' WHEN 1 THEN 'on 03/01/2020' WHEN 2 THEN 'id 103/01/2020' ELSE '' END AS stamp FROM documents),
 h AS (SELECT doc_id, 'run date (' || sp || ') appears on a chart dated ' || dos AS finding FROM t, s WHERE dos <> DATE '2020-03-01' AND regexp_matches(stamp, '(^|[^\\w.])' || sp || '($|[^\\w.])'))
 SELECT t.doc_id, 'date_staleness' AS "check", CASE WHEN finding IS NULL THEN 'pass' ELSE 'warn' END AS verdict, finding FROM t LEFT JOIN h ON h.doc_id = t.doc_id""".replace("\\\\", "\\"))
 def date_staleness(spark, sf):
@@ -182,9 +182,9 @@ def row_matching(spark, sf):
 
 
 @query("denylist_scan", r"""
-WITH words AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]{2,}'), x -> lower(x)) AS w FROM documents),
-tok AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(list_filter(w, x -> length(x) >= 4), list_transform(range(1, greatest(len(w), 1)), i -> w[i] || ' ' || w[i + 1])), list_transform(regexp_extract_all(text, '\b[A-Za-z0-9_-]{24,}\b'), x -> lower(x))))) AS token FROM words JOIN documents USING (doc_id)),
-deny AS (SELECT DISTINCT sha256(lower(t)) AS h FROM (SELECT unnest(list_filter(regexp_extract_all(text, '[A-Za-z]{2,}'), x -> length(x) >= 12)) AS t FROM benchmark))
+WITH words AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda x: lower(x)) AS w FROM documents),
+tok AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(list_filter(w, lambda x: length(x) >= 4), list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(regexp_extract_all(text, '\b[A-Za-z0-9_-]{24,}\b'), lambda x: lower(x))))) AS token FROM words JOIN documents USING (doc_id)),
+deny AS (SELECT DISTINCT sha256(lower(t)) AS h FROM (SELECT unnest(list_filter(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda x: length(x) >= 12)) AS t FROM benchmark))
 SELECT doc_id AS path, sha256(token) AS sha256 FROM tok WHERE sha256(token) IN (SELECT h FROM deny) AND token NOT IN (SELECT lower(p_name) FROM part)""")
 def denylist_scan(spark, sf):
     words = F.explode(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) >= 12))

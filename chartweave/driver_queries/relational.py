@@ -264,9 +264,9 @@ def skiplist(spark, sf):
     return todo.select("item_key", "encounter_id", F.lit(False).alias("skipped")).unionByName(skipped.select("item_key", "encounter_id", F.lit(True).alias("skipped")))
 
 
-@query("smoking_rows", "SELECT c_custkey, c_custkey % 2 = 0 OR c_custkey % 7 = 0 AS smoking FROM customer")
+@query("smoking_rows", "SELECT c_custkey, c_custkey % 7 = 0 OR (c_custkey % 5 <> 0 AND c_custkey % 2 = 0) AS smoking FROM customer")
 def smoking_rows(spark, sf):
-    c = load(spark, sf, "customer").selectExpr("c_custkey", "'social-history' AS category", "CASE WHEN c_custkey % 7 = 0 THEN '72166-2' ELSE '1' END AS code", "CASE WHEN c_custkey % 2 = 0 THEN 'Tobacco use' ELSE 'Occupation' END AS display")
+    c = load(spark, sf, "customer").selectExpr("c_custkey", "'social-history' AS category", "CASE WHEN c_custkey % 7 = 0 THEN '72166-2' WHEN c_custkey % 5 = 0 THEN '1' END AS code", "CASE WHEN c_custkey % 2 = 0 THEN 'Tobacco use' ELSE 'Occupation' END AS display")
     return c.select("c_custkey", filters.is_smoking_status("category", "code", "display").alias("smoking"))
 
 

@@ -84,7 +84,5 @@ def resolve_flags(defaults: Mapping[str, bool], overrides: Mapping[str, bool]) -
 
 def is_smoking_status(category: Column | str, code: Column | str, display: Column | str) -> Column:
     """FLT-11. A social-history row that states tobacco use."""
-    cat = F.col(category) if isinstance(category, str) else category
-    label = F.lower(F.coalesce(F.col(display) if isinstance(display, str) else display, F.lit("")))
-    c = F.coalesce(F.col(code) if isinstance(code, str) else code, F.lit(""))
-    return (cat == "social-history") & ((c == "72166-2") | label.contains("tobacco") | label.contains("smok"))
+    cat, c, d = (F.col(x) if isinstance(x, str) else x for x in (category, code, display))
+    return (cat == "social-history") & (F.coalesce(c == "72166-2", F.lit(False)) | (c.isNull() & F.coalesce(d == "Tobacco use", F.lit(False))))
