@@ -195,7 +195,7 @@ def denylist_scan(spark, sf):
 
 # Each text gains identifiers of every kind, some of them synthetic by convention.
 SEEDED = """concat(text, '\\n', CASE doc_id % 4 WHEN 0 THEN concat('SSN ', lpad(doc_id * 7 % 1000, 3, '0'), '-12-3456') WHEN 1 THEN concat('call (212) ', CASE WHEN doc_id % 8 = 1 THEN '555' ELSE '444' END, '-', lpad(doc_id % 10000, 4, '0'))
-  WHEN 2 THEN concat('id ', CASE WHEN doc_id % 8 = 2 THEN 'FEEDFACE' ELSE 'ABCDEF12' END, '-0000-4000-8000-', lpad(doc_id, 12, '0')) ELSE concat('Birth date: ', doc_id % 12 + 1, '/', doc_id % 28 + 1, '/1970') END)"""
+  WHEN 2 THEN concat('id ', CASE WHEN doc_id % 8 = 2 THEN 'FEEDFACE' ELSE 'ABCDEF12' END, '-0000-4000-8000-', lpad(doc_id, 12, '0')) ELSE concat('DOB: ', doc_id % 12 + 1, '/', doc_id % 28 + 1, '/1970') END)"""
 SEEDED_SQL = """
 f AS (SELECT doc_id, 'ssn' AS kind, lpad(CAST(doc_id * 7 % 1000 AS VARCHAR), 3, '0') || '-12-3456' AS value FROM documents WHERE doc_id % 4 = 0 AND doc_id * 7 % 1000 NOT IN (0, 666) AND doc_id * 7 % 1000 < 900
   UNION ALL SELECT doc_id, 'phone', '(212) 444-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') FROM documents WHERE doc_id % 8 = 5

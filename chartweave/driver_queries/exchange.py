@@ -11,6 +11,7 @@ from chartweave.plans import fhir_exchange as X
 from chartweave.plans import loss
 from chartweave.plans import tsv_mapping as M
 from chartweave.sinks import bundle, ccd
+from chartweave.session import cut_lineage
 from chartweave.sources.ccda import parse_documents
 
 
@@ -34,6 +35,7 @@ def fhir_round_trip(spark, sf):
     tables = canonical(spark, sf)
     out = None
     for name, df in tables.items():
+        df = cut_lineage(df)  # both sides read the stored table
         back = X.from_resources(X.to_resources(df, name), name, df.schema)
         n = loss.round_trip_diff(df, back, [X.SHAPES[name].key]).agg(F.count(F.lit(1)).alias("differing_leaves")).select(F.lit(name).alias("table_name"), "differing_leaves")
         out = n if out is None else out.unionByName(n)
@@ -86,13 +88,13 @@ def qa_slices(spark, sf):
     return bundle.qa_slices(results, lab.selectExpr("doc_id", "doc_id % 300 AS patient_id"), load(spark, sf, "customer").selectExpr("c_custkey AS patient_id"))
 
 
-def ccd_documents(spark, sf, with_lost: bool = False):
+def ccd_documents(spark, sf, *names: str, with_lost: bool = False):
+    """Documents of the named tables, written once before they are read."""
     t = canonical(spark, sf)
-    tables = {k: t[k] for k in ("patients", "encounters", "conditions", "allergies", "medications", "immunizations", "observations")}
-    tables["observations"] = tables["observations"].filter("category = 'vital-signs'")
+    tables = {k: cut_lineage(t[k]) for k in ("patients", *names)}
     lost = loss.all_lost_fields({"conditions": tables["conditions"]}, {"conditions": "condition_id"}) if with_lost else None
-    d = ccd.build_ccd(tables, lost)
-    return parse_documents(d.select(F.concat("patient_id", F.lit(":"), "page").alias("source_file"), "xml", F.monotonically_increasing_id().alias("_ord")))
+    d = cut_lineage(ccd.build_ccd(tables, lost).select(F.concat("patient_id", F.lit(":"), "page").alias("source_file"), "xml"))
+    return parse_documents(d.withColumn("_ord", F.monotonically_increasing_id()))
 
 
 @query("ccda_patients", """
@@ -100,10 +102,8 @@ SELECT 'p-' || c_custkey || ':0' AS source_file, upper(substr(c_mktsegment, 1, 1
   CASE WHEN c_custkey % 13 = 12 THEN NULL ELSE DATE '1940-01-01' + CAST(c_custkey * 37 % 25000 AS INT) END AS birth_date, CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS sex, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS n_races,
   CASE WHEN c_custkey % 3 = 0 THEN 'source-guid,ssn' ELSE 'source-guid' END AS id_kinds, 'phone-home,phone-mobile,email' AS tel_kinds, c_custkey || ' Main St' AS line1, 'Continuity of Care Document' AS title FROM customer""")
 def ccda_patients(spark, sf):
-    t = {"patients": M.map_patients(DriverExport(spark, sf))}
-    t["conditions"] = M.map_conditions(DriverExport(spark, sf)["patient-diagnoses"])
-    d = ccd.build_ccd(t).select(F.concat("patient_id", F.lit(":"), "page").alias("source_file"), "xml", F.lit(0).cast("bigint").alias("_ord"))
-    p = CM.ccda_patients(parse_documents(d))
+    d = ccd_documents(spark, sf, "conditions")
+    p = CM.ccda_patients(d)
     return p.select("source_file", "given_name", "middle_name", "family_name", "suffix", "birth_date", "sex", F.size("race").alias("n_races"), F.array_join("identifiers.kind", ",").alias("id_kinds"), F.array_join("telecom.kind", ",").alias("tel_kinds"),
                     F.col("addresses")[0]["line1"].alias("line1"), F.try_element_at("extensions", F.lit("ccda:title")).alias("title"))
 
@@ -114,7 +114,8 @@ UNION ALL SELECT 'medication', CASE WHEN p_partkey % 2 = 0 THEN p_name END, NULL
 UNION ALL SELECT 'immunization', p_brand, CAST(p_size AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN DATE '2018-06-07' WHEN p_partkey % 3 = 0 THEN DATE '2017-01-02' END, NULL, NULL FROM part
 UNION ALL SELECT 'allergy', s_name, CASE s_suppkey % 4 WHEN 0 THEN 'drug' WHEN 1 THEN 'food' WHEN 2 THEN 'environment' ELSE 'other' END || coalesce('/' || CASE WHEN s_suppkey % 3 = 0 THEN 'Severe' END, ''), DATE '2001-01-01' + CAST(s_suppkey AS INT), NULL, NULL FROM supplier""")
 def ccda_clinical(spark, sf):
-    s, _ = CM.ccda_sections(ccd_documents(spark, sf))
+    s, _ = CM.ccda_sections(ccd_documents(spark, sf, "conditions", "allergies", "medications", "immunizations"))
+    s = cut_lineage(s)
     day, flag = F.lit(None).cast("date"), F.lit(None).cast("boolean")
 
     def row(df, *cols):
@@ -135,7 +136,7 @@ SELECT code, unit, value, effective_at, count(*) AS n FROM (SELECT CASE l_linenu
 
 @query("ccda_observations", OBS_COUNT)
 def ccda_observations(spark, sf):
-    s, _ = CM.ccda_sections(ccd_documents(spark, sf))
+    s, _ = CM.ccda_sections(ccd_documents(spark, sf, "observations"))
     return CM.ccda_observations(s).groupBy("code", "unit", "value", ntz("effective_at").alias("effective_at")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -144,7 +145,7 @@ SELECT encounter_type, date_of_service, note_type, has_text, count(*) AS n FROM
   SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'SIMPLE' ELSE 'SOAP' END AS encounter_type, CASE WHEN o_orderkey % 13 = 12 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date_of_service, CASE WHEN o_orderkey % 3 = 0 THEN 'SIMPLE' ELSE 'SOAP' END AS note_type, false AS has_text FROM orders JOIN customer ON c_custkey = o_custkey
   UNION ALL SELECT NULL, CASE WHEN o_orderkey % 13 = 12 THEN NULL ELSE CAST(o_orderdate AS DATE) END, CASE WHEN o_orderkey % 2 = 0 THEN 'Office Visit' END, true FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 9 <> 0) GROUP BY 1, 2, 3, 4""")
 def ccda_encounters(spark, sf):
-    s, _ = CM.ccda_sections(ccd_documents(spark, sf))
+    s, _ = CM.ccda_sections(ccd_documents(spark, sf, "encounters"))
     has = F.exists("sections", lambda x: x["text"].isNotNull())
     return CM.ccda_encounters(s).groupBy("encounter_type", "date_of_service", "note_type", has.alias("has_text")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -153,7 +154,7 @@ def ccda_encounters(spark, sf):
 SELECT 'p-' || k || ':0' AS source_file, 'ccda:section:51899-3' AS key, 'Preserved Source Fields' AS title FROM (SELECT DISTINCT p_partkey % 100 AS k FROM part) JOIN customer ON c_custkey = k""")
 def ccda_leftover_sections(spark, sf):
     """The preserved-fields section comes back as title and text."""
-    _, leftover = CM.ccda_sections(ccd_documents(spark, sf, with_lost=True))
+    _, leftover = CM.ccda_sections(ccd_documents(spark, sf, "conditions", with_lost=True))
     return leftover.filter(F.col("text").contains("recorded_at = 2024-05-06")).select("source_file", "key", "title")
 
 
@@ -162,7 +163,7 @@ WITH p AS (SELECT 'd-' || p_partkey AS condition_id, p_partkey FROM part)
 SELECT condition_id, 'recorded_at' AS path, '2024-05-06 07:08:09' AS value FROM p UNION ALL SELECT condition_id, 'acuity', 'Chronic' FROM p WHERE p_partkey % 4 = 0
 UNION ALL SELECT 'd-' || p_partkey, 'extensions.tsv:DiagnosisCodeEquivalents', CASE p_partkey % 3 WHEN 0 THEN 'ICD10:E' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '.' || p_partkey % 10 || ' SNOMED ' || (1000000 + p_partkey) ELSE 'SNOMED ' || (2000000 + p_partkey) END FROM part WHERE p_partkey % 3 < 2""")
 def lost_fields(spark, sf):
-    return loss.lost_fields(M.map_conditions(DriverExport(spark, sf)["patient-diagnoses"]), "conditions", ["condition_id"])
+    return loss.lost_fields(M.map_conditions(DriverExport(spark, sf)["patient-diagnoses"]), "conditions", ["patient_id", "condition_id"]).drop("patient_id")
 
 
 @query("flatten_paths", """

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chartweave.functions.text import strip
+from chartweave.functions.text import let, strip
 
 # One guard says which spellings are known; each rewrite below then turns one of
 # them into text that a cast understands. Every step reads its input once, so
@@ -80,21 +80,30 @@ def parse_dt(col: Column | str, mode: str = "null") -> Column:
 
     Year 1 is the "no value" stamp and becomes NULL in every mode.
     """
-    text = strip(_c(col))
-    return _loud(text, _moment(text), mode, "timestamp")
+    def parse(cell: Column) -> Column:
+        text = strip(cell)
+        return _loud(text, _moment(text), mode, "timestamp")
+
+    return let(_c(col), parse)
 
 
 def parse_date(col: Column | str, mode: str = "null") -> Column:
     """FN-06. The calendar date as written: an offset never moves it."""
-    text = strip(_c(col))
-    return _loud(text, _rewrite(text, _TO_ISO_DAY).try_cast("date"), mode, "date")
+    def parse(cell: Column) -> Column:
+        text = strip(cell)
+        return _loud(text, _rewrite(text, _TO_ISO_DAY).try_cast("date"), mode, "date")
+
+    return let(_c(col), parse)
 
 
 def parse_problem(col: Column | str) -> Column:
     """Why a cell cannot be read as a date/time, NULL when it can."""
-    text = strip(_c(col))
-    bad = (text != "") & ~text.rlike(YEAR_ONE) & _moment(text).isNull()
-    return F.when(bad, F.lit("unrecognized_format"))
+    def problem(cell: Column) -> Column:
+        text = strip(cell)
+        bad = (text != "") & ~text.rlike(YEAR_ONE) & _moment(text).isNull()
+        return F.when(bad, F.lit("unrecognized_format"))
+
+    return let(_c(col), problem)
 
 
 def to_local(col: Column | str, zone: Column | str) -> Column:

@@ -44,6 +44,16 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value as one small expression.
+
+    A long chain of rewrites is inlined into generated code wherever it is
+    used, and several of them exceed what one method may hold. Inside a
+    higher-order function the chain stays a single node, evaluated once.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def blank_to_null(col: Column | str) -> Column:
     """The column, with the empty string as NULL."""
     return F.nullif(_c(col), F.lit(""))
@@ -129,9 +139,9 @@ def with_html_text(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
     A column function repeats its input where it is used twice. Here every
     step is a column of its own, so long notes are rewritten only once.
     """
-    df = df.withColumns({f"_h_{out}": _html_structure(col) for out, col in cols.items()})
+    df = df.withColumns({f"_h_{out}": let(col, _html_structure) for out, col in cols.items()})
     df = df.withColumns({f"_d_{out}": decode_entities(f"_h_{out}") for out in cols})
-    df = df.withColumns({f"_t_{out}": _html_lines(F.col(f"_d_{out}")) for out in cols})
+    df = df.withColumns({f"_t_{out}": let(F.col(f"_d_{out}"), _html_lines) for out in cols})
     df = df.withColumns({out: blank_to_null(f"_t_{out}") for out in cols})
     return df.drop(*[f"_{k}_{out}" for out in cols for k in "hdt"])
 
@@ -170,8 +180,8 @@ def sanitize_note_html(col: Column | str) -> Column:
 
 def with_note_html(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
     """FN-15 for several columns of a table, each step computed once per row."""
-    df = df.withColumns({f"_r_{out}": _note_raw(col) for out, col in cols.items()})
-    df = df.withColumns({f"_n_{out}": _note_rich(F.col(f"_r_{out}")) for out in cols})
+    df = df.withColumns({f"_r_{out}": let(col, _note_raw) for out, col in cols.items()})
+    df = df.withColumns({f"_n_{out}": let(F.col(f"_r_{out}"), _note_rich) for out in cols})
     df = df.withColumns({out: _note_final(F.col(f"_r_{out}"), F.col(f"_n_{out}")) for out in cols})
     return df.drop(*[f"_{k}_{out}" for out in cols for k in "rn"])
 
