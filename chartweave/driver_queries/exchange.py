@@ -15,16 +15,20 @@ from chartweave.session import cut_lineage
 from chartweave.sources.ccda import parse_documents
 
 
-def canonical(spark, sf) -> dict:
+MAPPERS = {
+    "patients": lambda t: M.map_patients(t), "practitioners": lambda t: M.map_practitioners(t["providers"]), "facilities": lambda t: M.map_facilities(t["facilities"]), "encounters": lambda t: M.map_encounters(t),
+    "observations": lambda t: M.map_observations(t["patient-encounter-observations"]).withColumn("observation_id", F.concat(F.lit("o"), F.col("_ord").cast("string"))),
+    "conditions": lambda t: M.map_conditions(t["patient-diagnoses"]), "allergies": lambda t: M.map_allergies(t["patient-allergy"], t["patient-allergy-reactions"]), "medications": lambda t: M.map_medications(t["patient-medications"]),
+    "prescriptions": lambda t: M.map_prescriptions(t["patient-prescriptions"], t["prescription-transactions"]).withColumn("prescription_id", F.concat(F.lit("r"), F.col("_ord").cast("string"))),
+    "immunizations": lambda t: M.map_immunizations(t["patient-immunizations"]), "coverages": lambda t: M.map_coverages(t["patient-insurances"], t["superbill-insurances"]), "documents": lambda t: M.map_documents(t["patient-documents"]),
+    "family_history": lambda t: M.map_family_history(t["patient-family-medical-history"], t["patient-family-history-diagnoses"]).withColumn("history_id", F.concat(F.lit("h"), F.col("_ord").cast("string"))),
+}
+
+
+def canonical(spark, sf, *names: str) -> dict:
+    """Canonical tables, stored once: what a sink reads is a written table."""
     t = DriverExport(spark, sf)
-    return {
-        "patients": M.map_patients(t), "practitioners": M.map_practitioners(t["providers"]), "facilities": M.map_facilities(t["facilities"]), "encounters": M.map_encounters(t),
-        "observations": M.map_observations(t["patient-encounter-observations"]).withColumn("observation_id", F.concat(F.lit("o"), F.col("_ord").cast("string"))),
-        "conditions": M.map_conditions(t["patient-diagnoses"]), "allergies": M.map_allergies(t["patient-allergy"], t["patient-allergy-reactions"]), "medications": M.map_medications(t["patient-medications"]),
-        "prescriptions": M.map_prescriptions(t["patient-prescriptions"], t["prescription-transactions"]).withColumn("prescription_id", F.concat(F.lit("r"), F.col("_ord").cast("string"))),
-        "immunizations": M.map_immunizations(t["patient-immunizations"]), "coverages": M.map_coverages(t["patient-insurances"], t["superbill-insurances"]), "documents": M.map_documents(t["patient-documents"]),
-        "family_history": M.map_family_history(t["patient-family-medical-history"], t["patient-family-history-diagnoses"]).withColumn("history_id", F.concat(F.lit("h"), F.col("_ord").cast("string"))),
-    }
+    return {n: cut_lineage(MAPPERS[n](t)) for n in names or MAPPERS}
 
 
 @query("fhir_round_trip", """
@@ -35,7 +39,6 @@ def fhir_round_trip(spark, sf):
     tables = canonical(spark, sf)
     out = None
     for name, df in tables.items():
-        df = cut_lineage(df)  # both sides read the stored table
         back = X.from_resources(X.to_resources(df, name), name, df.schema)
         n = loss.round_trip_diff(df, back, [X.SHAPES[name].key]).agg(F.count(F.lit(1)).alias("differing_leaves")).select(F.lit(name).alias("table_name"), "differing_leaves")
         out = n if out is None else out.unionByName(n)
@@ -45,7 +48,7 @@ def fhir_round_trip(spark, sf):
 @query("fhir_note_round_trip", """
 SELECT 'e-' || o_orderkey AS encounter_id, CASE WHEN o_orderkey % 9 = 0 THEN 0 WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS n_texts, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 4 END AS n_sections FROM orders""")
 def fhir_note_round_trip(spark, sf):
-    e = M.map_encounters(DriverExport(spark, sf))
+    e = canonical(spark, sf, "encounters")["encounters"]
     back = X.restore_sections(X.note_documents(e), e.schema["sections"].dataType)
     return back.select("encounter_id", F.size(F.filter("sections.text", lambda t: t.isNotNull())).alias("n_texts"), F.size("sections").alias("n_sections"))
 
@@ -66,8 +69,7 @@ def fhir_export(spark, sf):
 WITH r AS (SELECT 'p-' || o_custkey AS patient_id, 'Encounter' AS t, o_orderkey AS o FROM orders UNION ALL SELECT 'p-' || p_partkey % 100, 'Condition', p_partkey FROM part), n AS (SELECT *, (row_number() OVER (PARTITION BY patient_id ORDER BY t, o) - 1) // 10 AS page FROM r)
 SELECT patient_id, page, count(*) AS n_entries, count(*) FILTER (t = 'Condition') AS n_conditions FROM n GROUP BY 1, 2""")
 def bundle_pages(spark, sf):
-    t = DriverExport(spark, sf)
-    b = bundle.bundles(X.to_fhir({"encounters": M.map_encounters(t), "conditions": M.map_conditions(t["patient-diagnoses"])}), page_rows=10)
+    b = bundle.bundles(X.to_fhir(canonical(spark, sf, "encounters", "conditions")), page_rows=10)
     parsed = F.from_json("bundle", "resourceType string, entry array<struct<resource:struct<resourceType:string>>>")
     kinds = F.transform(parsed["entry"], lambda e: e["resource"]["resourceType"])
     return b.select("patient_id", "page", "n_entries", F.size(F.filter(kinds, lambda k: k == "Condition")).alias("n_conditions"))
@@ -76,7 +78,7 @@ def bundle_pages(spark, sf):
 @query("bundle_json_size")
 def bundle_json_size(spark, sf):
     """Length of each patient's bundle; the JSON text has no SQL twin."""
-    b = bundle.bundles(X.to_fhir({"encounters": M.map_encounters(DriverExport(spark, sf))}))
+    b = bundle.bundles(X.to_fhir(canonical(spark, sf, "encounters")))
     return b.select("patient_id", "page", "n_entries", F.length("bundle").alias("n_chars"))
 
 
@@ -90,8 +92,7 @@ def qa_slices(spark, sf):
 
 def ccd_documents(spark, sf, *names: str, with_lost: bool = False):
     """Documents of the named tables, written once before they are read."""
-    t = canonical(spark, sf)
-    tables = {k: cut_lineage(t[k]) for k in ("patients", *names)}
+    tables = canonical(spark, sf, "patients", *names)
     lost = loss.all_lost_fields({"conditions": tables["conditions"]}, {"conditions": "condition_id"}) if with_lost else None
     d = cut_lineage(ccd.build_ccd(tables, lost).select(F.concat("patient_id", F.lit(":"), "page").alias("source_file"), "xml"))
     return parse_documents(d.withColumn("_ord", F.monotonically_increasing_id()))

@@ -58,7 +58,21 @@ def _rewrite(text: Column, steps: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+# The spelling most exports use needs no rewriting.
+_PLAIN_ISO = rf"^\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]{_HOUR}:{_SIXTY}(?::{_SIXTY}(?:\.\d{{1,6}})?)?(?:Z|[+-]\d{{2}}:\d{{2}})?)?$"
+
+
 def _moment(text: Column) -> Column:
+    plain = F.when(~text.startswith("0001-"), text.try_cast("timestamp"))
+    return F.when(text.rlike(_PLAIN_ISO), plain).otherwise(_rewritten_moment(text))
+
+
+def _day(text: Column) -> Column:
+    plain = F.when(~text.startswith("0001-"), F.substring(text, 1, 10).try_cast("date"))
+    return F.when(text.rlike(_PLAIN_ISO), plain).otherwise(_rewrite(text, _TO_ISO_DAY).try_cast("date"))
+
+
+def _rewritten_moment(text: Column) -> Column:
     twelve_hour = F.try_to_timestamp(
         F.upper(F.regexp_replace(F.regexp_replace(text, YEAR_ONE, ""), r"\s+", " ")), F.lit("M/d/yyyy h:m:s a")
     )
@@ -91,7 +105,7 @@ def parse_date(col: Column | str, mode: str = "null") -> Column:
     """FN-06. The calendar date as written: an offset never moves it."""
     def parse(cell: Column) -> Column:
         text = strip(cell)
-        return _loud(text, _rewrite(text, _TO_ISO_DAY).try_cast("date"), mode, "date")
+        return _loud(text, _day(text), mode, "date")
 
     return let(_c(col), parse)
 

@@ -36,8 +36,9 @@ EMPTY_BLOCKS = (
 STRAY_NEWLINE = r"\n(?!</(?:p|div|ul|ol|li|h[1-6])>)(?!<(?:p|div|ul|ol|li|h[1-6])[ >])"
 RICH_TEXT_CLASS = "pf-rich-text"
 
-_WS = r"\s\x1c-\x1f\x85   -     　"
-_EDGE_WS = f"^[{_WS}]+|[{_WS}]+$"
+# Every character Python and Unicode count as white space.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+_WS = r"\s\x1c-\x1f\x85\xa0  -     　"
 
 
 def _c(col: Column | str) -> Column:
@@ -61,7 +62,7 @@ def blank_to_null(col: Column | str) -> Column:
 
 def strip(col: Column | str) -> Column:
     """Trim every kind of whitespace, not only spaces."""
-    return F.regexp_replace(_c(col), _EDGE_WS, "")
+    return F.trim(_c(col), F.lit(WHITESPACE))
 
 
 def clean_cell(col: Column | str) -> Column:
