@@ -36,12 +36,15 @@ def _any_text(spark: SparkSession, files: list[str], *markers: str) -> bool:
 
 
 def is_tsv(spark: SparkSession, folder: str) -> bool:
-    return path_exists(spark, f"{folder.rstrip('/')}/patient-demographics.tsv")
+    base = folder.rstrip("/")
+    return all(path_exists(spark, f"{base}/{name}.tsv") for name in ("patient-demographics", "patient-encounters"))
 
 
 def is_dump(spark: SparkSession, folder: str) -> bool:
     base = f"{folder.rstrip('/')}/v500"
-    return any(n.endswith(".sql") for n in _names(spark, f"{base}/schema")) and bool(_names(spark, f"{base}/activity") or _names(spark, f"{base}/reference"))
+    schemas = [n.rsplit("/", 1)[-1] for n in _names(spark, f"{base}/schema")]
+    described = any(n.startswith("V500TableSchema") and n.endswith(".sql") for n in schemas)
+    return described and (path_exists(spark, f"{base}/activity") or path_exists(spark, f"{base}/reference"))
 
 
 def is_ccda(spark: SparkSession, folder: str) -> bool:
