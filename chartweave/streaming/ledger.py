@@ -24,14 +24,14 @@ def _text(value) -> str | None:
 class ItemState(StatefulProcessor):
     """Current state of each item, illegal moves counted, retries timed."""
 
-    def __init__(self, base_s: float = 2.0) -> None:
-        self.base_s = base_s
+    def __init__(self, base_s: float = 2.0, timers: bool = True) -> None:
+        self.base_s, self.timers = base_s, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.item = handle.getValueState("item", _KEPT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = self.item.get() if self.item.exists() else (-1, "pending", 0, None, None, None, 0, 0)
         seq, state, attempts, error, doc, run, illegal, retry_at = kept
         moves = [r for frame in rows for r in frame.itertuples(index=False)]
@@ -45,17 +45,18 @@ class ItemState(StatefulProcessor):
             error, doc = tag or error, _text(r.destination_doc_id) or doc
             if state == "retry_wait":
                 attempts += 1
-                retry_at = timers.getCurrentProcessingTimeInMs() + int(self.base_s * 1000 * 2 ** (attempts - 1))
+            if state == "retry_wait" and self.timers:
+                retry_at = timerValues.getCurrentProcessingTimeInMs() + int(self.base_s * 1000 * 2 ** (attempts - 1))
                 self.handle.registerTimer(retry_at)
         self.item.update((seq, state, attempts, error, doc, run, illegal, retry_at))
         yield self._row(key[0], seq, state, attempts, error, doc, run, illegal, retry_at)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """ST-03. The wait is over: the item is due again, unless it moved on."""
         if not self.item.exists():
             return
         seq, state, attempts, error, doc, run, illegal, retry_at = self.item.get()
-        if state == "retry_wait" and expired.getExpiryTimeInMs() >= retry_at:
+        if state == "retry_wait" and expiredTimerInfo.getExpiryTimeInMs() >= retry_at:
             yield self._row(key[0], seq, "retry_due", attempts, error, doc, run, illegal, retry_at)
 
     def close(self) -> None:
@@ -68,13 +69,15 @@ class ItemState(StatefulProcessor):
                             columns=[c.split()[0] for c in ITEM_SCHEMA.split(", ")])
 
 
-def stream_item_state(transitions: DataFrame, base_s: float = 2.0) -> DataFrame:
+def stream_item_state(transitions: DataFrame, base_s: float = 2.0, timers: bool = True) -> DataFrame:
     """ST-01/03. Latest state per item, emitted whenever it changes.
 
-    The session needs the RocksDB state provider (``STATE_PROVIDER``).
+    The session needs the RocksDB state provider (``STATE_PROVIDER``). Turn
+    ``timers`` off for a run that ends by itself: processing-time timers keep
+    a query going for as long as it lives.
     """
     rows = transitions.select(F.col("item_key").cast("string").alias("item_key"), F.col("seq").cast("long").alias("seq"), "to_state", "run_id", "error_type", "destination_doc_id")
-    return rows.groupBy("item_key").transformWithStateInPandas(statefulProcessor=ItemState(base_s), outputStructType=ITEM_SCHEMA, outputMode="update", timeMode="processingTime")
+    return rows.groupBy("item_key").transformWithStateInPandas(statefulProcessor=ItemState(base_s, timers), outputStructType=ITEM_SCHEMA, outputMode="update", timeMode="processingTime" if timers else "none")
 
 
 def stream_enqueue(items: DataFrame, delay: str = "1 hour", time_col: str = "at") -> DataFrame:
@@ -102,7 +105,7 @@ def stream_state_counts(transitions: DataFrame, table: str, checkpoint: str):
     def fold(batch: DataFrame, batch_id: int) -> None:
         upsert_items(batch.filter(F.col("state") != "retry_due"), table, batch_id)
 
-    writer = stream_item_state(transitions).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = stream_item_state(transitions, timers=False).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(fold).trigger(availableNow=True).start()
 
 
