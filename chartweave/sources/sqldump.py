@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartweave.functions.text import strip
 from chartweave.operators.windows import block_scan, order_block
 from chartweave.session import cut_lineage
 from chartweave.sources.tsv import path_exists
@@ -168,7 +169,7 @@ def parse_dump_lines(lines: DataFrame, ddl: DataFrame) -> DataFrame:
     parsed = block_scan(cut_lineage(parsed.withColumn("_h", head)), ["_src"], ["_ord", "_pos"], order_block("_ord"), {"_open": ("last", "_h")})
     rows = parsed.filter(F.col("_i.vals").isNotNull()).withColumn("_s", F.when(F.col("_i.tbl").isNotNull(), own).otherwise(F.col("_open")))
     rows = rows.filter(F.coalesce(F.col("_s.tbl"), F.lit("")) != "")
-    named = F.transform(F.split("_s.cols", ","), lambda c: F.trim(F.replace(F.trim(c), F.lit("`"), F.lit(""))))
+    named = F.transform(F.split("_s.cols", ","), lambda c: strip(F.replace(c, F.lit("`"), F.lit(""))))
     rows = rows.join(ddl, F.col("_s.tbl") == F.col("table_name"), "left")
     columns = F.when(F.coalesce(F.col("_s.cols"), F.lit("")) != "", named).otherwise(F.col("columns"))
     wrong = F.raise_error(F.concat(F.lit("malformed INSERT in "), F.col("_src"), F.lit(": wrong number of values for "), F.col("_s.tbl")))
