@@ -29,6 +29,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    Large tables have many splits and pass through untouched. A small file
+    is one split, and per-row mapping work on it would run on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ntz(col) -> F.Column:
     """An instant as the plain timestamp DuckDB shows (session zone UTC)."""
     return (F.col(col) if isinstance(col, str) else col).cast("timestamp_ntz")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartweave.driver_queries.base import load, query
+from chartweave.driver_queries.base import load, query, spread
 from chartweave.plans import phi, qa, verify
 
 # A name that occurs in its document, one that only occurs inside a longer
@@ -15,7 +15,7 @@ i AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'Given' || doc_id
 
 
 def inputs(spark, sf):
-    d = load(spark, sf, "documents").selectExpr(
+    d = spread(load(spark, sf, "documents")).selectExpr(
         "doc_id", "doc_id AS encounter_id", "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE concat('Given', doc_id, ' Family') END AS display_name",
         "CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE date_add(DATE'1950-01-01', CAST(doc_id % 9000 AS INT)) END AS birth_date",
         "date_add(DATE'2020-01-01', CAST(doc_id % 700 AS INT)) AS date_of_service", "text")
@@ -190,7 +190,7 @@ def denylist_scan(spark, sf):
     words = F.explode(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) >= 12))
     deny = load(spark, sf, "benchmark").select(words.alias("w")).select(F.lower("w").alias("t")).select(F.sha2(F.col("t").cast("binary"), 256).alias("sha256")).distinct()
     allow = load(spark, sf, "part").select(F.lower("p_name").alias("token"))
-    return phi.denylist_scan(phi.scannable(load(spark, sf, "documents")), deny, allow, path="doc_id").withColumnRenamed("doc_id", "path")
+    return phi.denylist_scan(phi.scannable(spread(load(spark, sf, "documents"))), deny, allow, path="doc_id").withColumnRenamed("doc_id", "path")
 
 
 # Each text gains identifiers of every kind, some of them synthetic by convention.

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartweave.driver_queries.base import load
+from chartweave.driver_queries.base import load, spread
 
 
 def spell(date_sql: str, key_sql: str) -> str:
@@ -185,7 +185,7 @@ def raw_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, columns = TABLE_SQL[name]
     for word in source.split():
         if word.islower() and not word.startswith(("l_", "o_")):
-            load(spark, sf_dir, word).createOrReplaceTempView(f"drv_{word}")
+            spread(load(spark, sf_dir, word)).createOrReplaceTempView(f"drv_{word}")
     tables = " ".join(f"drv_{w}" if w.islower() and not w.startswith(("l_", "o_")) else w for w in source.split())
     if name == "patient-race":
         tables += " LATERAL VIEW explode(sequence(0, CAST(c_custkey % 3 AS INT))) x AS i"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartweave.driver_queries.base import load, ntz, query
+from chartweave.driver_queries.base import load, ntz, query, spread
 from chartweave.plans import fhir_mapping as M
 from chartweave.sources.fhir import loud_json, with_head
 
@@ -65,7 +65,7 @@ def resources(spark, sf, *types: str) -> DataFrame:
     out = None
     for t in types or BODIES:
         table, body, order = BODIES[t]
-        df = load(spark, sf, table).selectExpr(f"to_json({body}) AS body", f"'{t}.ndjson' AS source_file", f"{order} AS _ord")
+        df = spread(load(spark, sf, table)).selectExpr(f"to_json({body}) AS body", f"'{t}.ndjson' AS source_file", f"{order} AS _ord")
         out = df if out is None else out.unionByName(df)
     return with_head(out)
 

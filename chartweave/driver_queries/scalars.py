@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from chartweave.driver_queries.base import load, ntz, query
+from chartweave.driver_queries.base import load, ntz, query, spread
 from chartweave.driver_queries.exports import BIRTH, spell
 from chartweave.functions import codes, dates, references, text
 from chartweave.operators.windows import allocate_names
@@ -29,7 +29,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 12 OR o_orderkey % 17 = 3 THEN NU
 def parse_mixed_dates(spark, sf):
     spelled = F.expr(f"CASE WHEN o_orderkey % 17 = 3 THEN concat('sometime ', o_orderkey) ELSE {spell('o_orderdate', 'o_orderkey')} END")
     late = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("230000-0500"))
-    df = load(spark, sf, "orders").select("o_orderkey", spelled.alias("s"), late.alias("late"))
+    df = spread(load(spark, sf, "orders")).select("o_orderkey", spelled.alias("s"), late.alias("late"))
     return df.select("o_orderkey", ntz(dates.parse_dt("s")).alias("moment"), dates.parse_date("s").alias("day"), dates.parse_problem("s").alias("problem"),
                      ntz(dates.parse_dt("late")).alias("offset_moment"), dates.parse_date("late").alias("offset_day"))
 
@@ -75,7 +75,7 @@ e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t,
 f AS (SELECT page_id, regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), ' *' || chr(1) || ' *', chr(10), 'g') AS t FROM e)
 SELECT page_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS body FROM f""")
 def html_to_text_pages(spark, sf):
-    return text.with_html_text(load(spark, sf, "pages").select("page_id", "html"), {"body": F.col("html")}).select("page_id", "body")
+    return text.with_html_text(spread(load(spark, sf, "pages")).select("page_id", "html"), {"body": F.col("html")}).select("page_id", "body")
 
 
 @query("note_html_repair", r"""
