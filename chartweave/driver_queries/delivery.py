@@ -178,7 +178,7 @@ def type_clusters(spark, sf):
 WITH {SPANS_SQL}, b AS (SELECT font, bold, CAST(round((size - 8.1) * 10) AS INT) // 3 AS k, size, w FROM sp),
 c AS (SELECT font, bold, CAST(round(sum(size * w) / sum(w), 1) AS DOUBLE) AS size, sum(w) AS weight FROM b GROUP BY font, bold, k), m AS (SELECT font AS bf, size AS bs, bold AS bb FROM c ORDER BY weight DESC, size DESC, font DESC LIMIT 1),
 j AS (SELECT *, font = bf AND size = bs AND bold = bb AS isb, NOT (font = bf AND size = bs AND bold = bb) AND (size > bs + 0.25 OR (bold AND NOT (font = bf AND abs(size - bs) <= 0.25))) AS h FROM c, m),
-r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY size DESC, font) AS rn FROM j)
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY size DESC, font, bold) AS rn FROM j)
 SELECT font, bold, size, weight, CASE WHEN isb THEN 'body' WHEN h THEN 'h' || least(rn, 3) ELSE 'small' END AS role FROM r""")
 def type_scale(spark, sf):
     return layout.type_scale(spans(spark, sf))

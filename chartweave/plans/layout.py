@@ -74,7 +74,7 @@ def type_scale(spans: DataFrame) -> DataFrame:
     near = (F.col("font") == F.col("_b.font")) & (F.abs(F.col("size") - F.col("_b.size")) <= SIZE_TOLERANCE)
     heading = ~is_body & (bigger | (F.col("bold") & ~near))
     # Clusters are few (fonts x sizes), so one ordered pass over them is small.
-    order = Window.partitionBy("_h").orderBy(F.desc("size"), "font")
+    order = Window.partitionBy("_h").orderBy(F.desc("size"), "font", "bold")
     ranked = c.withColumn("_h", heading).withColumn("_body", is_body).withColumn("_rank", F.row_number().over(order))
     role = F.when(F.col("_body"), "body").when(F.col("_h"), F.concat(F.lit("h"), F.least(F.col("_rank"), F.lit(3)).cast("string"))).otherwise("small")
     return ranked.select("font", "size", "bold", "weight", role.alias("role"))
