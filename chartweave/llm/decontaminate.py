@@ -24,7 +24,7 @@ WINDOW = 10
 #: Item words that one pass over the texts looks for; larger item tables take several passes.
 BLOCK_WORDS = 500_000
 #: Terms that are intersected before the rest of a window is compared.
-RAREST = 3
+RAREST = 2
 #: Positions in one stored piece of a run, without its overlap.
 PIECE = 512
 _ALNUM = byte_table("alnum")
@@ -122,9 +122,12 @@ def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
 
     rows = spread_rows(docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("raw")))
     scanned = stage(rows.mapInArrow(run, "key long, n_words long, starts array<int>, pieces array<array<long>>"), "runs")
-    pieces = scanned.filter(F.size("starts") > 0).select("key", F.posexplode(F.arrays_zip("starts", "pieces")).alias("piece", "p")).select("key", "piece", F.col("p.starts").alias("start"), F.col("p.pieces").alias("terms"))
+    # Rows that repeat share a key and its postings; one of them is enough.
+    first = Window.partitionBy("key").orderBy("key")
+    once = scanned.filter(F.size("starts") > 0).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    pieces = stage(once.select("key", F.posexplode(F.arrays_zip("starts", "pieces")).alias("piece", "p")).select("key", "piece", F.col("p.starts").alias("start"), F.col("p.pieces").alias("terms")), "pieces")
     postings = pieces.select("key", "piece", F.posexplode("terms").alias("at", "term")).select("term", "key", "piece", "at")
-    return Index(scanned.select("key", "n_words"), pieces, stage(postings.distinct().repartitionByRange("term", "key").sortWithinPartitions("term", "key", "piece", "at"), "postings"))
+    return Index(scanned.select("key", "n_words"), pieces, stage(postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key", "piece", "at"), "postings"))
 
 
 def rarest_terms(windows: DataFrame, index: Index, n: int = RAREST) -> DataFrame:
@@ -133,22 +136,22 @@ def rarest_terms(windows: DataFrame, index: Index, n: int = RAREST) -> DataFrame
     distinct = windows.groupBy("terms").agg(F.first("size").alias("size")).withColumn("window", F.xxhash64("terms"))
     each = distinct.select("window", "size", F.posexplode("terms").alias("offset", "term")).join(seen, "term")
     ranked = each.groupBy("window", "size").agg(F.slice(F.array_sort(F.collect_list(F.struct("count", "offset", "term"))), 1, n).alias("rare"), F.count("*").alias("n"))
-    return ranked.filter("n = size").select("window", "rare").join(distinct, "window")
+    return stage(ranked.filter("n = size").select("window", "rare").join(distinct, "window"), "plan")
 
 
 def phrase_matches(windows: DataFrame, index: Index, n: int = RAREST) -> DataFrame:
     """``(key, start, size, window)``: every place where a whole window occurs."""
     plan = rarest_terms(windows, index, n)
     pick = lambda k: F.coalesce(F.get("rare", F.lit(k)), F.col("rare")[0])  # noqa: E731  a window of few terms repeats its first
-    asked = plan.select("window", "size", "terms", *(pick(k)["term"].alias(f"term{k}") for k in range(n)), *(pick(k)["offset"].alias(f"offset{k}") for k in range(n)))
+    asked = plan.select("window", *(pick(k)["term"].alias(f"term{k}") for k in range(n)), *(pick(k)["offset"].alias(f"offset{k}") for k in range(n)))
     found = index.postings.join(asked, F.col("term") == F.col("term0")).withColumn("first", F.col("at") - F.col("offset0")).filter("first >= 0")
-    found = found.select("key", "piece", "first", "window", "size", "terms", *(f"{c}{k}" for k in range(1, n) for c in ("term", "offset")))
+    found = found.select("key", "piece", "first", "window", *(f"{c}{k}" for k in range(1, n) for c in ("term", "offset")))
     for k in range(1, n):
         p = index.postings.select(F.col("key").alias("_key"), F.col("piece").alias("_piece"), F.col("at").alias("_at"), F.col("term").alias("_term"))
         found = found.join(p, (F.col("key") == F.col("_key")) & (F.col("piece") == F.col("_piece")) & (F.col("first") + F.col(f"offset{k}") == F.col("_at")) & (F.col(f"term{k}") == F.col("_term")), "left_semi")
     stored = index.pieces.select("key", "piece", "start", F.col("terms").alias("stored"))
-    whole = found.join(stored, ["key", "piece"]).filter(F.slice("stored", F.col("first") + 1, F.col("size")) == F.col("terms"))
-    return whole.select("key", (F.col("start") + F.col("first")).alias("start"), "size", "window").distinct()
+    near = found.select("key", "piece", "first", "window").join(stored, ["key", "piece"]).join(plan.select("window", "size", "terms"), "window")
+    return near.filter(F.slice("stored", F.col("first") + 1, F.col("size")) == F.col("terms")).select("key", (F.col("start") + F.col("first")).alias("start"), "size", "window").distinct()
 
 
 def proximity_matches(windows: DataFrame, index: Index, span: int = 30, n: int = RAREST) -> DataFrame:
