@@ -122,7 +122,7 @@ def ladder(spark, sf):
     files = m.filter("doc_id % 9 <> 0").select("file_path", F.when(F.col("doc_id") % 8 == 0, F.lit("other")).otherwise(F.col("sha256")).alias("sha256"), "size_bytes")
     reported = m.select("item_key", F.when(F.col("doc_id") % 6 == 0, F.lit(0)).otherwise(F.col("size_bytes")).alias("size_bytes"), F.lit(None).cast("int").alias("page_count"))
     rows = verify.verify_integrity(m, files).unionByName(verify.verify_size(m.drop("page_count"), m.select("item_key", "page_count"))).unionByName(verify.verify_metadata(m, reported))
-    return verify.verify_ladder(rows).select("item_key", "pre_failed", "post_failed", "levels_run", "outcome")
+    return verify.verify_ladder(rows, ("L0", "L1", "L5")).select("item_key", "pre_failed", "post_failed", "levels_run", "outcome")
 
 
 @query("header_fields", """
@@ -217,3 +217,53 @@ def pattern_findings(spark, sf):
 @query("scan_summary", f"WITH {SEEDED_SQL} SELECT doc_id AS path, count(*) AS n_findings FROM f WHERE kind <> 'phone' OR regexp_extract(value, '[ .-](\\d{{3}})[ .-]', 1) <> '555' GROUP BY 1")
 def scan_summary(spark, sf):
     return phi.scan_summary(_findings(spark, sf), "doc_id").withColumnRenamed("doc_id", "path")
+
+
+@query("unreadable_documents", f"""
+WITH {INPUT_SQL}, u AS (SELECT *, doc_id % 6 = 0 AS gone FROM i), f AS (
+SELECT doc_id, 'fail' AS verdict, 'patient name not found on document' AS finding FROM u WHERE display_name IS NOT NULL AND (k5 = 0 OR gone)
+UNION ALL SELECT doc_id, 'fail', 'date of birth not found on document' FROM u WHERE birth_date IS NOT NULL AND (k3 = 0 OR gone)
+UNION ALL SELECT doc_id, 'warn', 'record carries no identity anchors (name/DOB) to verify' FROM u WHERE display_name IS NULL AND birth_date IS NULL
+UNION ALL SELECT doc_id, 'fail', 'date of service not found on document' FROM u WHERE k4 = 0 OR gone)
+SELECT doc_id, coalesce(verdict, 'pass') AS verdict, finding FROM u LEFT JOIN f USING (doc_id)""")
+def unreadable_documents(spark, sf):
+    """A sixth of the documents has no text: everything the record holds is missing on them."""
+    gone = inputs(spark, sf).withColumn("text", F.when(F.col("doc_id") % 6 != 0, F.col("text")))
+    return qa.check_identity(gone).select("doc_id", "verdict", "finding")
+
+
+@query("vitals_of_unreadable", """
+WITH v AS (SELECT doc_id, CAST(doc_id % 50 + 60 AS VARCHAR) AS value FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 3 = 0 THEN 'fail' ELSE 'pass' END AS verdict, CASE WHEN doc_id % 4 = 0 OR doc_id % 3 = 0 THEN concat('vital Pulse value ', chr(39), value, chr(39), ' not found') END AS finding FROM v""")
+def vitals_of_unreadable(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("encounter_id"), (F.col("doc_id") % 50 + 60).cast("string").alias("value"))
+    shown = F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Pulse "), "value", F.lit("1"))).otherwise(F.concat(F.lit("Pulse "), "value"))
+    seen = d.select("encounter_id", F.lit("vital-signs").alias("category"), F.lit("Pulse").alias("display"), F.lit("p").alias("code"), "value")
+    return qa.check_vitals(d.select("doc_id", "encounter_id", shown.alias("text")), seen).select("doc_id", "verdict", "finding")
+
+
+@query("ladder_gaps", """
+SELECT CAST(doc_id AS VARCHAR) AS item_key, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'L0' END AS pre_failed, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS levels_run,
+  CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'pre_verify_failed' WHEN doc_id % 3 = 0 THEN 'incomplete' ELSE 'verified' END AS outcome FROM documents""")
+def ladder_gaps(spark, sf):
+    """Manifests without a size or hash fail, and items that a level never ran for aren't verified."""
+    d = load(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("item_key"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("file_path"), F.sha2(F.encode("text", "utf-8"), 256).alias("sha256"), F.octet_length("text").alias("size_bytes"))
+    m = d.withColumn("size_bytes", F.when(F.col("doc_id") % 5 != 0, F.col("size_bytes"))).withColumn("sha256", F.when(F.col("doc_id") % 7 != 0, F.col("sha256")))
+    reported = d.select("item_key", F.lit(None).cast("int").alias("size_bytes"), F.lit(None).cast("int").alias("page_count"))
+    some = m.withColumn("page_count", F.lit(1)).filter("doc_id % 3 <> 0")
+    rows = verify.verify_integrity(m, d.select("file_path", "sha256", "size_bytes")).unionByName(verify.verify_metadata(some, reported))
+    return verify.verify_ladder(rows, ("L0", "L5"), d).select("item_key", "pre_failed", "levels_run", "outcome")
+
+
+@query("unidentified_patients", """
+WITH s AS (SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment || c_custkey % 400 END AS fam, CASE WHEN c_custkey % 13 <> 0 THEN DATE '1960-01-01' + CAST(c_custkey % 7 AS INT) END AS bd FROM customer),
+d AS (SELECT c_custkey AS dest_id, c_mktsegment || c_custkey % 400 AS fam, DATE '1960-01-01' + CAST(c_custkey % 7 AS INT) AS bd FROM customer WHERE c_custkey % 5 <> 0),
+m AS (SELECT s.patient_id, count(DISTINCT d.dest_id) AS n, min(d.dest_id) AS dest_id FROM s LEFT JOIN d ON d.fam = s.fam AND d.bd = s.bd GROUP BY 1)
+SELECT patient_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'not_found' END AS resolution, CASE WHEN n = 1 THEN dest_id END AS dest_id, n AS n_matches FROM m""")
+def unidentified_patients(spark, sf):
+    """Patients without a name, birth date or identifier still have a row: nobody was found."""
+    c = load(spark, sf, "customer")
+    none = ["CAST(NULL AS STRING) AS given_name", "CAST(NULL AS STRING) AS identifier"]
+    dest = c.filter("c_custkey % 5 <> 0").selectExpr("c_custkey AS dest_id", "concat(c_mktsegment, c_custkey % 400) AS family_name", "date_add(DATE'1960-01-01', CAST(c_custkey % 7 AS INT)) AS birth_date", *none)
+    src = c.selectExpr("c_custkey AS patient_id", "CASE WHEN c_custkey % 13 <> 0 THEN concat(c_mktsegment, c_custkey % 400) END AS family_name", "CASE WHEN c_custkey % 13 <> 0 THEN date_add(DATE'1960-01-01', CAST(c_custkey % 7 AS INT)) END AS birth_date", *none)
+    return verify.resolve_patients(src, dest).drop("matched_on")

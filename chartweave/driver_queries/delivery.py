@@ -106,13 +106,36 @@ SELECT o_orderkey AS item_key, o_custkey AS patient_id, true AS run_aborted FROM
 def hold_mismatched(spark, sf):
     items = load(spark, sf, "orders").select(F.col("o_orderkey").alias("item_key"), F.col("o_custkey").alias("patient_id"))
     banner = load(spark, sf, "customer").select(F.col("c_custkey").alias("patient_id"), (F.col("c_acctbal") >= 0).alias("banner_ok"))
-    todo, flag = ledger.hold_mismatched(ledger.by_patient(items), banner)
+    todo, flag = ledger.hold_mismatched(items, banner)
     return todo.crossJoin(flag.withColumnRenamed("aborted", "run_aborted"))  # the flag is one row
 
 
+@query("hold_unknown_banner", """
+SELECT o_orderkey AS item_key, o_custkey AS patient_id, true AS run_aborted FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 11 <> 0""")
+def hold_unknown_banner(spark, sf):
+    """Banners that are absent (a seventh) or unknown (an eleventh) hold their patients as wrong ones do."""
+    items = load(spark, sf, "orders").select(F.col("o_orderkey").alias("item_key"), F.col("o_custkey").alias("patient_id"))
+    banner = load(spark, sf, "customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("patient_id"), F.when(F.col("c_custkey") % 11 != 0, F.lit(True)).alias("banner_ok"))
+    todo, flag = ledger.hold_mismatched(items, banner)
+    return todo.crossJoin(flag.withColumnRenamed("aborted", "run_aborted"))  # the flag is one row
+
+
+@query("next_step_unknown", """
+SELECT CAST(o_orderkey AS VARCHAR) AS item_key, CASE WHEN o_orderkey % 10 IN (2, 4) THEN 'pending' WHEN o_custkey % 3 = 0 THEN 'resolving_patient' WHEN o_custkey % 5 = 0 THEN 'verifying_pre'
+  WHEN o_custkey % 7 = 0 THEN 'uploading' WHEN o_custkey % 11 = 0 THEN 'verifying_post' ELSE 'completed' END AS next_state, CAST(NULL AS VARCHAR) AS reason FROM orders""")
+def next_step_unknown(spark, sf):
+    """Each fact in turn is unknown for some items: none of them gets past the step that needs it."""
+    e = load(spark, sf, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS item_key", "if(o_orderkey % 2 = 0, 'pending', 'retry_wait') AS state", "0 AS attempts", "if(o_orderkey % 10 = 2, NULL, false) AS skiplisted", "if(o_orderkey % 10 = 4, NULL, true) AS preflight_ok", "'found' AS resolution",
+        "if(o_custkey % 3 = 0, NULL, false) AS duplicate", "if(o_custkey % 5 = 0, NULL, true) AS banner_ok", "true AS pre_ok", "if(o_custkey % 7 = 0, NULL, true) AS sent", "if(o_custkey % 11 = 0, NULL, true) AS size_ok", "true AS post_ok")
+    return ledger.next_step(e).select("item_key", "next_state", "reason")
+
+
 @query("privacy_view", "SELECT c_custkey AS item_key, c_nationkey AS state FROM customer")
 def privacy_view(spark, sf):
-    return ledger.privacy_view(load(spark, sf, "customer").select(F.col("c_custkey").alias("item_key"), F.col("c_nationkey").alias("state"), F.col("c_name").alias("family_name"), F.col("c_name").alias("file_path")))
+    """A fingerprint is a file name with a name and a date in it, and no list knows of ``nick_name``."""
+    c = load(spark, sf, "customer")
+    return ledger.privacy_view(c.select(F.col("c_custkey").alias("item_key"), F.col("c_nationkey").alias("state"), F.col("c_name").alias("family_name"), F.col("c_name").alias("fingerprint"), F.col("c_name").alias("nick_name"), F.col("c_name").alias("file_path")))
 
 
 # Suppliers as destinations, their nation and balance as capability evidence.

@@ -33,7 +33,11 @@ PICKUP = ("pending", "retry_wait", "upload_interrupted")
 RECOVERY = {"resolving_patient": "pending", "verifying_pre": "pending", "uploading": "upload_interrupted", "verifying_post": "upload_interrupted"}
 RECOVERY_TAG = "CrashRecovery"
 PERMANENT = {"verifying_pre": "pre_verify_failed", "verifying_post": "post_verify_failed"}
-PRIVATE = ("given_name", "family_name", "display_name", "birth_date", "file_path", "path")
+# Columns that a report may show; every other one is left out.
+SHOWN = (
+    "item_key", "run_id", "seq", "last_seq", "state", "next_state", "from_state", "to_state", "state_group", "attempts", "error_type", "last_error_type",
+    "reason", "delay_s", "level", "status", "outcome", "pre_failed", "post_failed", "levels_run", "section", "key", "n",
+)
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -93,15 +97,19 @@ def next_step(evidence: DataFrame, max_attempts: int = 3) -> DataFrame:
     size_ok, post_ok``. An unknown fact stops the walk at that step.
     """
     f = F.col
-    start = F.when((f("state") == "pending") & f("skiplisted"), "skipped_skiplist").when((f("state") == "pending") & ~f("preflight_ok"), "preflight_failed")
+    start = (
+        F.when(f("state") != "pending", None).when(f("skiplisted"), "skipped_skiplist").when(f("skiplisted").isNull(), "pending")
+        .when(~f("preflight_ok"), "preflight_failed").when(f("preflight_ok").isNull(), "pending")
+    )
     spent = (f("state") == "retry_wait") & (f("attempts") >= max_attempts)
     walk = (
         F.when(f("resolution") == "not_found", "patient_not_found").when(f("resolution") == "ambiguous", "failed").when(f("resolution").isNull(), "resolving_patient")
-        .when(f("duplicate"), "duplicate_at_destination").when(~f("banner_ok") | ~f("pre_ok"), "pre_verify_failed").when(f("banner_ok").isNull() | f("pre_ok").isNull(), "verifying_pre")
-        .when(f("sent").isNull() | ~f("sent"), "uploading").when(~f("size_ok") | ~f("post_ok"), "post_verify_failed").when(f("post_ok").isNull(), "verifying_post").otherwise("completed")
+        .when(f("duplicate"), "duplicate_at_destination").when(f("duplicate").isNull(), "resolving_patient")
+        .when(~f("banner_ok") | ~f("pre_ok"), "pre_verify_failed").when(f("banner_ok").isNull() | f("pre_ok").isNull(), "verifying_pre")
+        .when(f("sent").isNull() | ~f("sent"), "uploading").when(~f("size_ok") | ~f("post_ok"), "post_verify_failed").when(f("size_ok").isNull() | f("post_ok").isNull(), "verifying_post").otherwise("completed")
     )
     reason = (
-        F.when(start.isNotNull(), start).when(spent, "RetriesExhausted").when((f("resolution") == "found") & ~f("duplicate") & ~f("banner_ok"), "WrongPatientError")
+        F.when(start == "pending", None).when(start.isNotNull(), start).when(spent, "RetriesExhausted").when((f("resolution") == "found") & ~f("duplicate") & ~f("banner_ok"), "WrongPatientError")
         .when((walk == "post_verify_failed") & ~f("size_ok"), "SizeMismatch")
     )
     done = f("state").isin(*TERMINAL)
@@ -128,18 +136,20 @@ def by_patient(items: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def hold_mismatched(items: DataFrame, banner: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """LG-09. (items to go on with, run flag) where a wrong banner holds its patient.
+    """LG-09. (items to go on with, run flag): an item goes on only if its patient's banner is known to be right.
 
-    ``banner`` has ``patient_id, banner_ok``.
+    ``banner`` has ``patient_id, banner_ok``. A wrong, unknown or absent banner
+    holds the patient's items and sets the flag.
     """
-    bad = banner.filter(~F.col("banner_ok")).select("patient_id").distinct()
-    flag = banner.agg(F.coalesce(F.bool_or(~F.col("banner_ok")), F.lit(False)).alias("aborted"))
-    return items.join(bad, "patient_id", "left_anti"), flag
+    right = banner.groupBy("patient_id").agg(F.bool_and(F.coalesce("banner_ok", F.lit(False))).alias("_ok")).filter("_ok").select("patient_id")
+    held = items.join(right, "patient_id", "left_anti")
+    doubts = banner.select((~F.coalesce("banner_ok", F.lit(False))).alias("_d")).unionByName(held.select(F.lit(True).alias("_d")))
+    return items.join(right, "patient_id", "left_semi"), doubts.agg(F.coalesce(F.bool_or("_d"), F.lit(False)).alias("aborted"))
 
 
 def privacy_view(df: DataFrame) -> DataFrame:
-    """LG-10. The table without any column that may carry a name, date or path."""
-    return df.select(*[c for c in df.columns if c not in PRIVATE])
+    """LG-10. Only the columns that are known to carry no name, date or path."""
+    return df.select(*[c for c in df.columns if c in SHOWN])
 
 
 def state_counts(items: DataFrame, states: Sequence[str] = STATES) -> DataFrame:

@@ -48,7 +48,8 @@ def _findings(*pairs: tuple[Column, str, Column]) -> Column:
 
 
 def check_identity(inputs: DataFrame) -> DataFrame:
-    """QA-01. Name, birth date and visit date stand on the document."""
+    """QA-01. Name, birth date and visit date stand on the document; unreadable text holds none of them."""
+    inputs = inputs.withColumn("text", F.coalesce("text", F.lit("")))
     name, dob, dos = F.col("display_name"), F.col("birth_date"), F.col("date_of_service")
     return _rows(inputs, "data_integrity", _findings(
         (name.isNotNull() & ~present(name, "text"), "fail", F.lit("patient name not found on document")),
@@ -87,9 +88,9 @@ def check_vitals(inputs: DataFrame, observations: DataFrame, enabled: bool = Tru
     vitals = observations.filter((F.col("category") == "vital-signs") & (F.coalesce("value", F.lit("")) != "")).select(
         "encounter_id", F.coalesce("display", "code").alias("_label"), F.col("value").alias("_value"))
     # A value occurs once per (encounter, label, value), however often charted.
-    joined = inputs.select("doc_id", "encounter_id", "text").join(vitals.distinct(), "encounter_id")
+    joined = inputs.select("doc_id", "encounter_id", F.coalesce("text", F.lit("")).alias("text")).join(vitals.distinct(), "encounter_id")
     finding = F.concat(F.lit("vital "), F.coalesce("_label", F.lit("")), F.lit(" value '"), F.col("_value"), F.lit("' not found"))
-    missing = joined.filter(~present("_value", "text")).select("doc_id", F.lit("fail").alias("verdict"), finding.alias("finding"))
+    missing = joined.filter(~F.coalesce(present("_value", "text"), F.lit(False))).select("doc_id", F.lit("fail").alias("verdict"), finding.alias("finding"))
     return inputs.select("doc_id").join(missing, "doc_id", "left").select(
         "doc_id", F.lit("vitals_loinc").alias("check"), F.coalesce("verdict", F.lit("pass")).alias("verdict"), "finding")
 

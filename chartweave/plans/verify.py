@@ -76,7 +76,10 @@ def verify_integrity(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """VER-01 (L0). Size and hash of the file match the manifest."""
     f = files.select("file_path", F.col("sha256").alias("_sha"), F.col("size_bytes").alias("_size"))
     m = manifest.join(f, "file_path", "left")
-    why = F.when(F.col("_sha").isNull(), "file missing").when(F.col("_size") != F.col("size_bytes"), "size mismatch").when(F.col("_sha") != F.col("sha256"), "sha256 mismatch")
+    why = (
+        F.when(F.col("_sha").isNull(), "file missing").when(F.col("size_bytes").isNull() | F.col("sha256").isNull(), "manifest has no size or hash")
+        .when(~F.col("_size").eqNullSafe(F.col("size_bytes")), "size mismatch").when(F.col("_sha") != F.col("sha256"), "sha256 mismatch")
+    )
     return _level(m, "L0", F.when(why.isNull(), "pass").otherwise("fail"), F.coalesce(why, F.lit("sha256 and size match")))
 
 
@@ -179,15 +182,24 @@ def verify_round_trip(manifest: DataFrame, read_back: DataFrame) -> DataFrame:
     return _level(m, "L6", status, detail)
 
 
-def verify_ladder(level_rows: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:
-    """VER-09. Per item: the first failing level of each half decides its outcome."""
+def verify_ladder(level_rows: DataFrame, levels: Sequence[str] = LEVELS, items: DataFrame | None = None) -> DataFrame:
+    """VER-09. Per item: the first failing level of each half decides its outcome.
+
+    An item without a row of every selected level is ``incomplete``, never
+    verified. ``items`` adds those for which no level ran at all.
+    """
     rows = level_rows.filter(F.col("level").isin(*levels))
     post = F.col("level").isin("L5", "L6")
     failed = F.when(F.col("status") == "fail", F.col("level"))
     agg = rows.groupBy("item_key").agg(
-        F.min(F.when(~post, failed)).alias("pre_failed"), F.min(F.when(post, failed)).alias("post_failed"), F.count(F.lit(1)).alias("levels_run"),
+        F.min(F.when(~post, failed)).alias("pre_failed"), F.min(F.when(post, failed)).alias("post_failed"), F.countDistinct(F.when(F.col("status").isNotNull(), F.col("level"))).alias("levels_run"),
         F.max(F.coalesce((F.col("level") == "L4") & (F.col("status") == "fail"), F.lit(False))).alias("wrong_patient"))
-    outcome = F.when(F.col("pre_failed").isNotNull(), "pre_verify_failed").when(F.col("post_failed").isNotNull(), "post_verify_failed").otherwise("verified")
+    if items is not None:
+        agg = items.select("item_key").distinct().join(agg, "item_key", "left").fillna({"levels_run": 0, "wrong_patient": False})
+    outcome = (
+        F.when(F.col("pre_failed").isNotNull(), "pre_verify_failed").when(F.col("post_failed").isNotNull(), "post_verify_failed")
+        .when(F.col("levels_run") < len(set(levels)), "incomplete").otherwise("verified")
+    )
     return agg.withColumn("outcome", outcome)
 
 
@@ -215,6 +227,9 @@ def resolve_patients(source: DataFrame, dest: DataFrame) -> DataFrame:
         for p in parts:
             filled = filled & (F.col(p).isNotNull() if p in keys else F.col(p).isNull())
         pieces.append(counted(rest.filter(filled), keys, ",".join(keys)))
+    # Nothing to search on: nobody is found, and the patient still has a row.
+    nothing = rest.filter(F.coalesce(*[F.col(p).cast("string") for p in parts]).isNull())
+    pieces.append(nothing.withColumn("n", F.lit(0).cast("bigint")).withColumn("matched_on", F.lit("")))
     out = pieces[0]
     for piece in pieces[1:]:
         out = out.unionByName(piece, allowMissingColumns=True)
@@ -231,12 +246,17 @@ def match_rows(patients: DataFrame, rows: DataFrame) -> DataFrame:
     that a common birth date does not pair everyone born that day.
     """
     day = F.explode(F.array_distinct(F.regexp_extract_all("row_text", F.lit(r"\b(\d{2}/\d{2}/\d{4})\b"), 1)))
-    r = rows.withColumn("_day", day).withColumn("_w", F.explode(F.array_distinct(F.split(F.lower("row_text"), r"[^\p{L}\p{N}]+"))))
+    r = rows.withColumn("_t", F.lower("row_text")).withColumn("_day", day).withColumn("_w", F.explode(F.array_distinct(F.split("_t", r"[^\p{L}\p{N}]+"))))
     family, given = F.lower(F.coalesce("family_name", F.lit(""))), F.lower(F.coalesce("given_name", F.lit("")))
     first_word = F.get(F.filter(F.split(F.concat_ws(" ", family, given), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.lit(0))
-    p = patients.filter(F.col("birth_date").isNotNull()).withColumn("_day", F.date_format("birth_date", "MM/dd/yyyy")).withColumn("_w", first_word).withColumn("_f", family).withColumn("_g", given)
-    hit = F.contains(F.lower("row_text"), F.col("_f")) & F.contains(F.lower("row_text"), F.col("_g"))
-    found = p.join(r, ["_day", "_w"]).filter(hit).groupBy("patient_id").agg(F.countDistinct("dest_id").alias("n"), F.min("dest_id").alias("dest_id"))
+    p = patients.filter(F.col("birth_date").isNotNull()).select("patient_id", F.date_format("birth_date", "MM/dd/yyyy").alias("_day"), first_word.alias("_w"), family.alias("_f"), given.alias("_g"))
+    # Namesakes are asked for once and equal row texts are read once: both are counted, not
+    # paired. Of a text's destinations only the smallest and largest matter: one, or more.
+    asked = p.select("_day", "_w", "_f", "_g").distinct()
+    texts = r.groupBy("_day", "_w", "_t").agg(F.min("dest_id").alias("_low"), F.max("dest_id").alias("_top"))
+    hit = F.contains("_t", F.col("_f")) & F.contains("_t", F.col("_g"))
+    counted = asked.join(texts, ["_day", "_w"]).filter(hit).groupBy("_day", "_w", "_f", "_g").agg(F.min("_low").alias("dest_id"), F.max("_top").alias("_top"))
+    found = p.join(counted, ["_day", "_w", "_f", "_g"]).select("patient_id", F.when(F.col("dest_id") == F.col("_top"), 1).otherwise(2).alias("n"), "dest_id")
     out = patients.select("patient_id").join(found, "patient_id", "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("patient_id", F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("not_found").alias("resolution"), F.when(n == 1, F.col("dest_id")).alias("dest_id"))
