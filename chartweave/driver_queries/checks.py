@@ -214,9 +214,11 @@ def pattern_findings(spark, sf):
     return _findings(spark, sf).groupBy(F.col("doc_id").alias("path"), "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_summary", f"WITH {SEEDED_SQL} SELECT doc_id AS path, count(*) AS n_findings FROM f WHERE kind <> 'phone' OR regexp_extract(value, '[ .-](\\d{{3}})[ .-]', 1) <> '555' GROUP BY 1")
+@query("scan_summary", f"WITH {SEEDED_SQL} SELECT doc_id AS path, count(*) AS n_findings, 'findings' AS status FROM f WHERE doc_id % 9 <> 0 AND (kind <> 'phone' OR regexp_extract(value, '[ .-](\\d{{3}})[ .-]', 1) <> '555') GROUP BY 1 UNION ALL SELECT doc_id, NULL, 'skipped_binary' FROM documents WHERE doc_id % 9 = 0")
 def scan_summary(spark, sf):
-    return phi.scan_summary(_findings(spark, sf), "doc_id").withColumnRenamed("doc_id", "path")
+    """A ninth of the texts ends in a NUL, however long they are: none is scanned, and each is named."""
+    d = load(spark, sf, "documents").selectExpr("doc_id", f"{SEEDED} AS text").withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\u0000"))).otherwise(F.col("text")))
+    return phi.scan_summary(phi.pattern_findings(phi.scannable(d), path="doc_id"), "doc_id", phi.skipped_binary(d, "doc_id")).withColumnRenamed("doc_id", "path")
 
 
 @query("unreadable_documents", f"""

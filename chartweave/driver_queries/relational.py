@@ -67,8 +67,7 @@ def attribute_documents(spark, sf):
     patients = c.withColumn("prefix", joins.patient_prefix("family", "given"))
     docs = load(spark, sf, "orders").join(patients, F.col("o_custkey") == F.col("patient_id")).select(
         F.col("o_orderkey").alias("doc_id"), F.concat("prefix", F.date_format("o_orderdate", "MM-dd-yyyy"), F.lit("_note.pdf")).alias("file_name"))
-    out = joins.attribute_documents(docs, patients)
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_owners"), F.min("patient_id").alias("first_owner"), F.first("prefix").alias("prefix"))
+    return joins.attribute_documents(docs, patients).select("doc_id", "n_owners", "first_owner", "prefix")
 
 
 @query("match_documents", """

@@ -17,11 +17,12 @@ WITH n AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c
 parts AS (SELECT o_custkey, 0 AS tier, o_orderkey AS o, 0 AS i, CASE WHEN o_orderkey % 10 = 0 THEN 'Growth Chart review' ELSE o_orderpriority END AS part FROM orders
   UNION ALL SELECT o_custkey, 1, o_orderkey, 0, 'Status ' || o_orderstatus || chr(10) || chr(10) || 'Total ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders WHERE o_orderkey % 9 <> 0
   UNION ALL SELECT o_custkey, 1, o_orderkey, 2, 'stable' FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 3 <> 0),
-t AS (SELECT o_custkey, string_agg(part, ' ' ORDER BY tier, o, i) AS txt, count(DISTINCT o) AS n FROM parts GROUP BY 1)
-SELECT 'p-' || c_custkey AS id, name AS display_name, dob, coalesce(n, 0) AS encounter_count, md5(substr(lower(name || coalesce(' ' || dob, '') || coalesce(' ' || txt, '')), 1, 4000)) AS digest FROM n LEFT JOIN t ON o_custkey = c_custkey""")
+k AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY tier, o, i) - 1) // 7 AS page FROM parts),
+t AS (SELECT o_custkey, page, string_agg(part, ' ' ORDER BY tier, o, i) AS txt FROM k GROUP BY 1, 2), c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'p-' || c_custkey AS id, name AS display_name, dob, coalesce(n, 0) AS encounter_count, coalesce(page, 0) AS page, md5(lower(CASE WHEN coalesce(page, 0) = 0 THEN concat_ws(' ', name, dob, txt) ELSE txt END)) AS digest FROM n LEFT JOIN t ON t.o_custkey = c_custkey LEFT JOIN c ON c.o_custkey = c_custkey""")
 def archive_index(spark, sf):
     t = canonical(spark, sf, "patients", "encounters")
-    return archive.archive_index(t["patients"], t["encounters"]).select("id", "display_name", "dob", "encounter_count", F.md5(F.col("search").cast("binary")).alias("digest"))
+    return archive.archive_index(t["patients"], t["encounters"], page_parts=7).select("id", "display_name", "dob", "encounter_count", "page", F.md5(F.col("search").cast("binary")).alias("digest"))
 
 
 @query("archive_encounters", """

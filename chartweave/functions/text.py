@@ -228,9 +228,12 @@ def redact(col: Column | str) -> Column:
 
 
 def present(needle: Column | str, text: Column | str) -> Column:
-    """FLT-06. The needle stands alone: no word character or dot beside it."""
+    """FLT-06. The needle stands alone: no word character or dot beside it.
+
+    The pattern is only built where the text holds the needle at all.
+    """
     quoted = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), F.replace(_c(needle), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\w.])"))
-    return F.call_function("rlike", _c(text), quoted)
+    return F.when(~F.contains(_c(text), _c(needle)), F.lit(False)).otherwise(F.call_function("rlike", _c(text), quoted))
 
 
 def num_str(col: Column | str) -> Column:

@@ -184,22 +184,31 @@ def patient_prefix(family: Column | str, given: Column | str) -> Column:
 
 
 def attribute_documents(docs: DataFrame, patients: DataFrame, file_col: str = "file_name") -> DataFrame:
-    """JN-11. Each document to the patients with the longest matching prefix.
+    """JN-11. Each document with the longest matching prefix and who owns it.
+
+    Namesakes share a prefix, so owners are counted (``n_owners``), with the
+    smallest as ``first_owner``; ``prefix_owners`` lists them once a prefix,
+    never once a document.
 
     ``startswith`` over every pair would be a nested loop. A file name only
     has as many prefixes as underscores, so those become an equality join.
     ``docs`` needs ``doc_id``; ``patients`` needs ``patient_id`` and ``prefix``.
     """
-    known = patients.filter(F.col("prefix").isNotNull()).select("prefix").distinct()
+    known = prefix_owners(patients).groupBy("prefix").agg(F.count_distinct("patient_id").alias("n_owners"), F.min("patient_id").alias("first_owner"))
     parts = F.split(F.col(file_col), "_")
     starts = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1),
         lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "_"), F.lit("_")),
     )
     starts = F.when(F.size(parts) > 1, starts)
-    candidates = docs.select("doc_id", F.explode(starts).alias("prefix")).join(known, "prefix")
+    candidates = docs.select("doc_id", F.explode(starts).alias("prefix")).join(known.select("prefix"), "prefix", "left_semi")
     best = longest_match(candidates, ["doc_id"], "prefix")
-    return docs.join(best, "doc_id").join(patients.select("patient_id", "prefix"), "prefix")
+    return docs.join(best, "doc_id").join(known, "prefix")
+
+
+def prefix_owners(patients: DataFrame) -> DataFrame:
+    """JN-11. ``(prefix, patient_id)`` of all patients that have a prefix."""
+    return patients.filter(F.col("prefix").isNotNull()).select("prefix", "patient_id")
 
 
 def match_documents(enc: DataFrame, docs: DataFrame) -> DataFrame:

@@ -146,13 +146,17 @@ def latest_run(runs: DataFrame) -> DataFrame:
 
 
 def search_patients(index: DataFrame, query: str) -> DataFrame:
-    """WIN-08. Ranked search: every token must occur; name hits rank higher."""
-    tokens = [t for t in query.lower().split() if t]
+    """WIN-08. Ranked search: every token must occur on some page of an entry; name hits rank higher."""
+    tokens = list(dict.fromkeys(t for t in query.lower().split() if t))
     name = F.lower(F.coalesce(F.col("display_name"), F.lit("")))
     hay = F.concat(F.lower(F.coalesce(F.col("search"), F.lit(""))), F.lit(" "), name)
-    hit = F.lit(True)
+    hits = {f"_h{i}": hay.contains(t) for i, t in enumerate(tokens)}
+    some, every = F.lit(not tokens), F.lit(True)
+    for c in hits:
+        some, every = some | F.col(c), every & F.col(c)
+    # Only pages with a hit go on, and of them a few flags.
+    pages = index.select("id", "display_name", *[h.alias(c) for c, h in hits.items()]).filter(some)
+    found = pages.groupBy("id", "display_name").agg(F.count(F.lit(1)).alias("_n"), *[F.bool_or(c).alias(c) for c in hits]).filter(every)
     scores = [F.lit(0), F.lit(0)] if tokens else [F.lit(1), F.lit(1)]
-    for t in tokens:
-        hit = hit & hay.contains(t)
-        scores.append(F.when(name.startswith(t), 3).when(name.contains(t), 2).otherwise(1))
-    return index.filter(hit).withColumn("score", F.greatest(*scores)).orderBy(F.desc("score"), "display_name")
+    scores += [F.when(name.startswith(t), 3).when(name.contains(t), 2).otherwise(1) for t in tokens]
+    return found.select("id", "display_name", F.greatest(*scores).alias("score")).orderBy(F.desc("score"), "display_name")

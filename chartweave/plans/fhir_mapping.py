@@ -265,11 +265,12 @@ def map_goals(resources: DataFrame) -> DataFrame:
 
 
 def map_family_history(resources: DataFrame) -> DataFrame:
-    """MAP-25. Family history, first condition."""
+    """MAP-25. Family history: a row for each condition; those after the first have ``#n`` behind their id."""
     f = parsed(resources, "FamilyMemberHistory", f"relationship {CONCEPT}, condition array<struct<code:{CONCEPT},onsetDateTime:string,onsetString:string>>")
-    c = first(F.col("r.condition"))
-    ext = _put(fhir_residual("relationship condition"), "onset_string", F.nullif(c["onsetString"], F.lit("")))
-    return f.select(F.col("id").alias("history_id"), "patient_id", concept_text(c["code"]).alias("diagnosis"), concept_text(F.col("r.relationship")).alias("relation"), fhir_date(c["onsetDateTime"]).alias("onset_date"), ext.alias("extensions"), _prov(), "_ord")
+    f = f.select("*", F.posexplode_outer("r.condition").alias("_i", "c"))
+    ext = _put(fhir_residual("relationship condition"), "onset_string", F.nullif(F.col("c.onsetString"), F.lit("")))
+    name = F.when(F.col("_i") > 0, F.concat("id", F.lit("#"), F.col("_i").cast("string"))).otherwise(F.col("id"))
+    return f.select(name.alias("history_id"), "patient_id", concept_text(F.col("c.code")).alias("diagnosis"), concept_text(F.col("r.relationship")).alias("relation"), fhir_date("c.onsetDateTime").alias("onset_date"), ext.alias("extensions"), _prov(), "_ord")
 
 
 def map_medications(resources: DataFrame) -> DataFrame:

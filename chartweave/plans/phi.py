@@ -16,7 +16,6 @@ PHONE = r"(?U)\(?\b(\d{3})\)?[ .-](\d{3})[ .-]\d{4}\b"
 BIRTH = r"(?iU)(?:dob|birth)\W{0,40}?(\d{1,2}/\d{1,2}/(?:19|20)\d{2})"
 SYNTHETIC_GUIDS = ("feedface-", "00000000-")
 SYNTHETIC_AREAS = (0, 666)
-SNIFF_CHARS = 8192
 
 
 def _all(text: Column | str, pattern: str, group: int = 0) -> Column:
@@ -33,8 +32,13 @@ def candidate_tokens(text: Column | str) -> Column:
 
 
 def scannable(df: DataFrame, text: str = "text") -> DataFrame:
-    """PHI-03. Text without a NUL in its head; binary content is skipped."""
-    return df.filter(~F.contains(F.substring(text, 1, SNIFF_CHARS), F.lit("\u0000")))
+    """PHI-03. Texts without a NUL anywhere; ``skipped_binary`` names the others."""
+    return df.filter(~F.contains(F.coalesce(text, F.lit("")), F.lit("\u0000")))
+
+
+def skipped_binary(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """PHI-03. Texts that no scan reads, because they hold a NUL."""
+    return df.filter(F.contains(text, F.lit("\u0000"))).select(path)
 
 
 def denylist_scan(df: DataFrame, deny: DataFrame, allow: DataFrame | None = None, path: str = "path", text: str = "text") -> DataFrame:
@@ -44,10 +48,12 @@ def denylist_scan(df: DataFrame, deny: DataFrame, allow: DataFrame | None = None
     broadcast only where its measured size permits.
     """
     tokens = df.select(path, F.explode(candidate_tokens(text)).alias("token"))
+    hashed = tokens.withColumn("sha256", F.sha2(F.col("token").cast("binary"), 256))
+    # The deny-list thins the tokens before anything else sees them.
+    denied = hashed.join(deny.select("sha256").distinct(), "sha256", "left_semi")
     if allow is not None:
-        tokens = tokens.join(allow.select("token").distinct(), "token", "left_anti")
-    hashed = tokens.select(path, F.sha2(F.col("token").cast("binary"), 256).alias("sha256"))
-    return hashed.join(deny.select("sha256").distinct(), "sha256", "left_semi").select(path, "sha256")
+        denied = denied.join(allow.select("token").distinct(), "token", "left_anti")
+    return denied.select(path, "sha256")
 
 
 def _matches(text: str, pattern: str) -> Column:
@@ -75,9 +81,12 @@ def pattern_findings(df: DataFrame, allow: DataFrame | None = None, path: str =
     return out
 
 
-def scan_summary(findings: DataFrame, path: str = "path") -> DataFrame:
-    """PHI-03. Findings per text."""
-    return findings.groupBy(path).agg(F.count(F.lit(1)).alias("n_findings"))
+def scan_summary(findings: DataFrame, path: str = "path", skipped: DataFrame | None = None) -> DataFrame:
+    """PHI-03. Findings per text, and a row ``skipped_binary`` for each text that wasn't read."""
+    found = findings.groupBy(path).agg(F.count(F.lit(1)).alias("n_findings")).withColumn("status", F.lit("findings"))
+    if skipped is None:
+        return found
+    return found.unionByName(skipped.select(path, F.lit(None).cast("bigint").alias("n_findings"), F.lit("skipped_binary").alias("status")))
 
 
 def redact_column(df: DataFrame, col: str) -> DataFrame:

@@ -9,32 +9,33 @@ from chartweave.functions.text import safe_token, strip
 from chartweave.operators.joins import match_documents
 from chartweave.operators.windows import block_scan, order_block
 
-SEARCH_CHARS = 4000
+# Complaints and note texts on one page of a patient's search entry.
+PAGE_PARTS = 200
 
 
 def display_name() -> Column:
     return F.nullif(F.concat_ws(" ", "given_name", "family_name"), F.lit(""))
 
 
-def archive_index(patients: DataFrame, encounters: DataFrame) -> DataFrame:
-    """SNK-02. One searchable entry per patient.
+def archive_index(patients: DataFrame, encounters: DataFrame, page_parts: int = PAGE_PARTS) -> DataFrame:
+    """SNK-02. Searchable entries: the whole text of a patient, in pages.
 
-    The search text has a fixed length, and every part of it is at least two
-    characters with its space. So the first ``SEARCH_CHARS / 2`` parts decide
-    it, and no more than those are gathered for a patient.
+    Page 0 also holds the name and the birth date. A part is never cut, and no
+    more than ``page_parts`` of them are gathered in one row.
     """
     enc = encounters.select("patient_id", "_ord", "chief_complaint", "sections")
     complaints = enc.select("patient_id", F.lit(0).alias("tier"), "_ord", F.lit(0).alias("i"), F.col("chief_complaint").alias("part"))
     notes = enc.select("patient_id", F.lit(1).alias("tier"), "_ord", F.posexplode("sections.text").alias("i", "part"))
     parts = complaints.unionByName(notes).filter(F.coalesce("part", F.lit("")) != "")
     numbered = block_scan(parts, ["patient_id"], ["tier", "_ord", "i"], F.struct("tier", order_block("_ord")), {"rn": ("row_number", None)})
-    first = numbered.filter(F.col("rn") <= SEARCH_CHARS // 2).select("patient_id", F.struct("rn", F.substring("part", 1, SEARCH_CHARS).alias("part")).alias("p"))
-    text = first.groupBy("patient_id").agg(F.sort_array(F.collect_list("p")).alias("_p")).select("patient_id", F.array_join("_p.part", " ").alias("_text"))
+    paged = numbered.select("patient_id", F.floor((F.col("rn") - 1) / page_parts).alias("page"), F.struct("rn", "part").alias("p"))
+    text = paged.groupBy("patient_id", "page").agg(F.sort_array(F.collect_list("p")).alias("_p")).select("patient_id", "page", F.array_join("_p.part", " ").alias("_text"))
     counts = encounters.groupBy("patient_id").agg(F.count(F.lit(1)).alias("encounter_count"))
-    p = patients.join(text, "patient_id", "left").join(counts, "patient_id", "left")
+    p = patients.join(text, "patient_id", "left").join(counts, "patient_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
     dob = F.col("birth_date").cast("string")
-    hay = F.lower(F.concat_ws(" ", display_name(), dob, F.nullif("_text", F.lit(""))))
-    return p.select(safe_token("patient_id", "unknown").alias("id"), F.coalesce(display_name(), F.col("patient_id")).alias("display_name"), dob.alias("dob"), F.coalesce("encounter_count", F.lit(0)).alias("encounter_count"), F.substring(hay, 1, SEARCH_CHARS).alias("search"))
+    first = F.col("page") == 0
+    hay = F.lower(F.concat_ws(" ", F.when(first, display_name()), F.when(first, dob), F.nullif("_text", F.lit(""))))
+    return p.select(safe_token("patient_id", "unknown").alias("id"), F.coalesce(display_name(), F.col("patient_id")).alias("display_name"), dob.alias("dob"), F.coalesce("encounter_count", F.lit(0)).alias("encounter_count"), "page", hay.alias("search"))
 
 
 def encounter_label() -> Column:

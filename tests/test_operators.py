@@ -52,8 +52,8 @@ def test_record_pages_and_childless_parents(spark):
 def test_longest_prefix_wins(spark):
     docs = spark.createDataFrame([("d1", "Van_Buren_John_01-02-2020_x.pdf"), ("d2", "Van_Buren_Jo_01-02-2020.pdf"), ("d3", "Nobody_x.pdf"), ("d4", "plain")], "doc_id string, file_name string")
     people = spark.createDataFrame([("p1", "Van Buren", "John"), ("p2", "Van", "Buren"), ("p3", "Van Buren", "Jo"), ("p4", None, "x")], "patient_id string, f string, g string").withColumn("prefix", joins.patient_prefix("f", "g"))
-    got = {(r.doc_id, r.patient_id) for r in joins.attribute_documents(docs, people).collect()}
-    assert got == {("d1", "p1"), ("d2", "p3")}
+    got = {(r.doc_id, r.n_owners, r.first_owner) for r in joins.attribute_documents(docs, people).collect()}
+    assert got == {("d1", 1, "p1"), ("d2", 1, "p3")}
 
 
 def test_names_of_a_collision(spark):
