@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from chartweave.llm.common import spread_rows
+from chartweave.llm.common import spread_rows, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
@@ -64,7 +64,7 @@ def suffix_sums(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     group meets in one task however many lengths it has.
     """
     by = list(by)
-    rows = hist.withColumn("_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
+    rows = stage(hist, "lengths").withColumn("_tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("_block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = rows.groupBy(*by, "_block").agg(F.sum("n_docs").alias("_d"), F.sum("_tokens").alias("_t"))
     later = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*by, F.lit(0))
