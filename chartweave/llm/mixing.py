@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartweave.llm.common import stage
+
 TREE = ("domain", "lang", "source")
 BUCKETS = 4096
 _SEP = "\u0001"
@@ -134,6 +136,7 @@ def select_ids(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ``rows`` is what ``with_tree`` gives. Documents that repeat an id have one place in the
     order and are taken together; those without tokens cost nothing and follow the same order.
     """
+    rows = stage(rows, "leaf-rows")
     leaf = plan(rows, mix).select(*TREE, "full", "last")
     return _epochs(rows.join(leaf, list(TREE)), mix).select(*TREE, "id", "tokens", "epoch")
 
@@ -150,7 +153,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tex
     Texts aren't moved for it: the table of leaves, a row for each source, is joined to them.
     """
     own = [F.col(c) for c in docs.columns if c != "epoch"]
-    leaf = plan(with_tree(docs, id_col, text_col, lang_col, source_col), mix).select(*(F.col(c).alias(f"_{c}") for c in (*TREE, "full", "last")))
+    leaf = plan(stage(with_tree(docs, id_col, text_col, lang_col, source_col), "leaf-rows"), mix).select(*(F.col(c).alias(f"_{c}") for c in (*TREE, "full", "last")))
     named = lambda c: F.coalesce(F.col(c), F.lit("other"))
     at = (domain_of(F.col(source_col)) == F.col("_domain")) & (named(lang_col) == F.col("_lang")) & (named(source_col) == F.col("_source"))
     joined = docs.join(leaf, at)
