@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartweave.llm import decontaminate, html_text, language, lm, mixing, neighbours, secret_scan, simhash, tokens, toxicity
+from chartweave.llm import decontaminate, html_text, language, lm, mixing, neighbours, oracle, secret_scan, simhash, tokens, toxicity
 from chartweave.llm.common import load
 
 MIX = mixing.Mix(share=0.6, epochs=2, seed=17, weights={("web",): 3.0, ("curated",): 1.0, ("web", "en"): 2.0, ("curated", "de"): 3.0, ("web", "en", "src0"): 4.0})
@@ -57,4 +57,4 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_secret_scan, op2_toxicity, op3_nearest_vectors, op4_language_id, op5_decontamination, op6_token_lengths, op7_source_mixing, op8_simhash_groups, op9_lm_score, op10_main_text)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_secret_scan": oracle.secrets(), "op5_decontamination": oracle.contamination(), "op7_source_mixing": oracle.mixing(MIX)}
