@@ -202,9 +202,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     # Both sides of a leaf are cut into blocks of bounded size, and each pair of blocks meets once.
     cut = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     blocks = cut(placed, "nv").join(cut(asks, "nq"), "leaf")
+    # Both sides number blocks as int: a cogroup deals keys by their hash, which depends on the type.
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(blocks, "leaf").withColumn("bv", F.pmod("cls", F.col("nv"))).withColumn("bq", every_of("nq")).select("leaf", "bv", "bq", "cls", "vec")
-    right = asks.join(blocks, "leaf").withColumn("bq", F.pmod(F.xxhash64("cls"), F.col("nq"))).withColumn("bv", every_of("nv")).select("leaf", "bv", "bq", "cls", "vec", "least")
+    left = placed.join(blocks, "leaf").withColumn("bv", F.pmod("cls", F.col("nv")).cast("int")).withColumn("bq", every_of("nq")).select("leaf", "bv", "bq", "cls", "vec")
+    right = asks.join(blocks, "leaf").withColumn("bq", F.pmod(F.xxhash64("cls"), F.col("nq")).cast("int")).withColumn("bv", every_of("nv")).select("leaf", "bv", "bq", "cls", "vec", "least")
 
     def meet(v, q):
         import pandas as pd

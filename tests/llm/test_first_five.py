@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartweave.llm import decontaminate, language, mixing, secret_scan, simhash
-from chartweave.llm.common import load
+from chartweave.llm.common import load, stage
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -193,7 +193,9 @@ def test_links_lose_no_pair(spark):
     assert all(top(a) == top(b) for a in signed for b in signed if ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
 
 
-def test_groups_match_brute_force(spark):
+def test_groups_match_brute_force(spark, monkeypatch):
+    # As many partitions as a large result would have.
+    monkeypatch.setattr(simhash, "stage", lambda df, name="stage": stage(df.repartition(5), name))
     docs = load(spark, SF, "documents")
     plain = pairs(docs, "doc_id", "text")
     words = "the of and with inanan there where other these those".split()

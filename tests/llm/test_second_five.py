@@ -78,7 +78,16 @@ def brute_nearest(rows, every=20, k=20):
     return out
 
 
-def test_neighbours_recall_and_exact_scores(spark):
+@pytest.fixture
+def many_partitions(spark):
+    """Small results stay in as many partitions as large ones would have."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_neighbours_recall_and_exact_scores(spark, many_partitions):
     table = load(spark, SF, "embeddings")
     want = brute_nearest([(r.vec_id, r.embedding) for r in table.collect()])
     got: dict = {}
@@ -91,7 +100,7 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert all(math.isclose(s, exact[q, i], rel_tol=1e-12) for q, v in got.items() for s, i in v if (q, i) in exact)
 
 
-def test_neighbours_of_copies_and_odd_vectors(spark):
+def test_neighbours_of_copies_and_odd_vectors(spark, many_partitions):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
     rows += [(i, [1.0, 2.0, 0.5, -1.0]) for i in range(60, 160)]  # one vector, many copies
@@ -141,7 +150,7 @@ def test_token_histogram(spark):
 # --- LM scores
 
 @pytest.mark.parametrize("frequent", [lm.FREQUENT, 50])
-def test_lm_base_score(spark, monkeypatch, frequent):
+def test_lm_base_score(spark, monkeypatch, many_partitions, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     docs = load(spark, SF, "documents").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
