@@ -211,5 +211,6 @@ def contamination_by_id(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    bad = contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col("key").alias("_bad"))
+    # Written out, its size is known before the texts are read: while it is small they aren't shuffled.
+    bad = stage(contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col("key").alias("_bad")), "contaminated")
     return docs.join(bad, row_key(id_col, text_col) == F.col("_bad"), "left_anti")

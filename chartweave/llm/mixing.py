@@ -150,10 +150,12 @@ def _epochs(rows: DataFrame, mix: Mix) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``docs`` as the mixture takes them, with the ``epoch`` of each copy.
 
-    Texts aren't moved for it: the table of leaves, a row for each source, is joined to them.
+    The table of leaves, a row for each source, is written out first: its size is known
+    before the texts are read, and while it is small they aren't shuffled for it.
     """
     own = [F.col(c) for c in docs.columns if c != "epoch"]
     leaf = plan(stage(with_tree(docs, id_col, text_col, lang_col, source_col), "leaf-rows"), mix).select(*(F.col(c).alias(f"_{c}") for c in (*TREE, "full", "last")))
+    leaf = stage(leaf, "leaves")
     named = lambda c: F.coalesce(F.col(c), F.lit("other"))
     at = (domain_of(F.col(source_col)) == F.col("_domain")) & (named(lang_col) == F.col("_lang")) & (named(source_col) == F.col("_source"))
     joined = docs.join(leaf, at)

@@ -212,8 +212,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     If that id has several texts in the group, one of them stays, and of rows that repeat it
     one too. Rows without an id stay as they are.
     """
-    groups = grouped(docs, id_col, text_col, words_per_shingle, max_bits)
-    keep = groups.filter("id = component").groupBy("root").agg(F.min("key").alias("_keep"))
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("_key", row_key(id_col, text_col)).join(keep.select("_keep"), F.col("_key") == F.col("_keep"), "left_semi")
-    once = named.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_n = 1").select(*docs.columns)
-    return once.unionByName(docs.filter(F.col(id_col).isNull()))
+    groups = grouped(docs, id_col, text_col, words_per_shingle, max_bits).filter("id IS NOT NULL")
+    keep = groups.filter("id = component").groupBy("root").agg(F.min("key").alias("kept"))
+    of = groups.groupBy("root", "key").agg(F.count("*").alias("times")).join(keep, "root")
+    # Written out, their size is known before the texts are read: while few rows go, texts aren't shuffled.
+    gone = stage(of.filter("key <> kept").select(F.col("key").alias("_gone")).distinct(), "gone")
+    twice = stage(of.filter("key = kept AND times > 1").select(F.col("key").alias("_twice")), "twice")
+    key = row_key(id_col, text_col)
+    named = docs.filter(F.col(id_col).isNotNull()).join(gone, key == F.col("_gone"), "left_anti")
+    once = named.join(twice, key == F.col("_twice"), "left_anti")
+    repeated = named.withColumn("_key", key).join(twice, F.col("_key") == F.col("_twice"), "left_semi")
+    first = repeated.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_n = 1").select(*docs.columns)
+    return once.unionByName(first).unionByName(docs.filter(F.col(id_col).isNull()))
