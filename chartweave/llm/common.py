@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", narrow: bool = True) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     It cuts the lineage, survives lost executors, and a reader still prunes columns.
+    ``narrow`` rows are first dealt to as many files as the session has cores: small results
+    of many tasks don't become many small files. Wide rows (texts) are written where they are.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    out = df.repartition(spark.sparkContext.defaultParallelism) if narrow else df
+    out.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remainder(id_col: str | Column, n: int) -> Column:
@@ -50,6 +55,13 @@ def spread_rows(df: DataFrame, *cols: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *cols)
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in pieces of ``rows``, so that a worker turns few texts at once into Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def byte_table(keep: str) -> bytes:
     """A ``bytes.translate`` table that lower-cases A-Z and turns separators into spaces.
 

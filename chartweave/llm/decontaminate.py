@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 Training texts are turned into postings ``(term, row, position)`` of the terms that test
-items use, kept as a table sorted by term. Each window of an item is looked up from its
+items use, kept as a table whose files are sorted by term. Each window of an item is looked up from its
 rarest terms: the postings of the rarest one give starts, those of the next ones, moved by
 their offset, thin them out, and the remaining terms are compared in the stored run.
 
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import byte_table, row_key, spread_rows, stage
+from chartweave.llm.common import byte_table, row_key, slices, spread_rows, stage
 
 WINDOW = 10
 #: Item words that one pass over the texts looks for; larger item tables take several passes.
@@ -46,7 +46,7 @@ def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "t
         import pyarrow as pa
         import xxhash
 
-        for b in batches:
+        for b in slices(batches):
             out: dict[str, list] = {"item": [], "size": [], "words": [], "terms": []}
             for item, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (raw or b"").translate(_ALNUM).split()
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
             ok = ends - starts >= least
             return starts[ok], ends[ok]
 
-        for b in batches:
+        for b in slices(batches):
             n_words, starts, pieces = [], [], []
             for raw in b.column(1).to_pylist():
                 found = (raw or b"").translate(_ALNUM).split()
@@ -127,7 +127,9 @@ def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     once = scanned.filter(F.size("starts") > 0).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     pieces = stage(once.select("key", F.posexplode(F.arrays_zip("starts", "pieces")).alias("piece", "p")).select("key", "piece", F.col("p.starts").alias("start"), F.col("p.pieces").alias("terms")), "pieces")
     postings = pieces.select("key", "piece", F.posexplode("terms").alias("at", "term")).select("term", "key", "piece", "at")
-    return Index(scanned.select("key", "n_words"), pieces, stage(postings.repartitionByRange("term", "key").sortWithinPartitions("term", "key", "piece", "at"), "postings"))
+    # Each file is sorted by term, so that a lookup skips the row groups of other terms.
+    files = postings.repartition(docs.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions("term", "key", "piece", "at")
+    return Index(scanned.select("key", "n_words"), pieces, stage(files, "postings", narrow=False))
 
 
 def rarest_terms(windows: DataFrame, index: Index, n: int = RAREST) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from chartweave.llm.common import spread_rows
+from chartweave.llm.common import slices, spread_rows
 
 # Elements by their part in HTML.
 HIDDEN = frozenset("head script style template noscript svg math canvas iframe object audio video select option datalist textarea button title".split())
@@ -231,7 +231,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html", labelled=
     def run(batches: Iterator):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             texts = [main_text(t, tree) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from chartweave.llm.common import remainder, spread_rows
+from chartweave.llm.common import remainder, slices, spread_rows
 
 UNKNOWN = "und"
 #: Training texts of one language at most, those of the smallest hash of the id.
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         import pyarrow as pa
 
         is_letter = letters()
-        for b in batches:
+        for b in slices(batches):
             held: dict[str, list] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(hashed(text, is_letter)[0])
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, filters: Filters, id_cols: list[str], text_col: st
         import pyarrow as pa
 
         is_letter, model = letters(), Filters(*held.value)
-        for b in batches:
+        for b in slices(batches):
             found = [judge(t, model, is_letter) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*b.schema.names[:-1], "lang_pred", "lang_score"])
 
@@ -209,7 +209,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         import pyarrow as pa
 
         is_letter, model = letters(), Filters(*held.value)
-        for b in batches:
+        for b in slices(batches):
             found = (judge(t, model, is_letter) for t in b.column(at).to_pylist())
             yield b.filter(pa.array([lang != UNKNOWN and score > 0 for lang, score in found], pa.bool_()))
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import byte_table, row_key, spread_rows, stage
+from chartweave.llm.common import byte_table, row_key, slices, spread_rows, stage
 from chartweave.llm.graph import components
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, a generator of the binary Golay code.
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             fps = [simhash(t, words_per_shingle) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["id", "key", "fp"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from chartweave.llm.common import spread_rows, stage
+from chartweave.llm.common import slices, spread_rows, stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
@@ -43,7 +43,7 @@ def token_counts(docs: DataFrame, keep: Sequence[str], text_col: str = "text", p
 
         ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, held.value.splitlines()) if a}
         encode = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for b in batches:
+        for b in slices(batches):
             n = [len(encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*b.schema.names[:-1], "n_tokens"])
 

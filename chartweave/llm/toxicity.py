@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from chartweave.llm.common import remainder, spread_rows, stage
+from chartweave.llm.common import remainder, slices, spread_rows, stage
 
 #: Labelled rows of each class that are learnt from at most, those of the smallest hash of the id.
 SAMPLE_PER_CLASS = 10_000
@@ -105,7 +105,7 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     # The hint is safe: at most two times per_class rows of an id and a class.
     chosen = F.broadcast(some(0).unionByName(some(1)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(chosen, "_id").select("toxic", "text")
-    return stage(texts, "labelled"), totals
+    return stage(texts, "labelled", narrow=False), totals
 
 
 def word_table(texts: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def word_table(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         held: tuple = (Counter(), Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = re.findall(_WORD, (text or "").lower())
                 held[toxic].update(set(words))
@@ -164,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         m = Model(*held.value)
-        for batch in batches:
+        for batch in slices(batches):
             out: list = [[], [], []]
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = re.findall(_WORD, (text or "").lower())
@@ -233,7 +233,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_cols: list[str], text_col:
 
         m = Model(*held.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
-        for b in batches:
+        for b in slices(batches):
             found = [evidence(t, m) for t in b.column(b.num_columns - 1).to_pylist()]
             spans = [[dict(zip(("start", "end", "score", "e_value"), p, strict=True)) for p in x[2]] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([probability(x, y, m) for x, y, _ in found], pa.float64()), pa.array(spans, kind)], [*b.schema.names[:-1], "score", "passages"])

@@ -195,7 +195,7 @@ def test_links_lose_no_pair(spark):
 
 def test_groups_match_brute_force(spark, monkeypatch):
     # As many partitions as a large result would have.
-    monkeypatch.setattr(simhash, "stage", lambda df, name="stage": stage(df.repartition(5), name))
+    monkeypatch.setattr(simhash, "stage", lambda df, name="stage": stage(df.repartition(5), name, narrow=False))
     docs = load(spark, SF, "documents")
     plain = pairs(docs, "doc_id", "text")
     words = "the of and with inanan there where other these those".split()
