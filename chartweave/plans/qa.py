@@ -20,6 +20,8 @@ from chartweave.operators.folds import VERDICT_RANK, document_verdict
 # Page sizes in points, and the tolerated difference.
 PAGE_SIZES = {"Letter": (612.0, 792.0), "A4": (595.0, 842.0)}
 PAGE_TOLERANCE = 2
+# The finding texts of QA-01 to QA-03, which reports are compared by, stand below
+# where they are used ("... not found on document", "... geometry not verified" and the like).
 
 
 def qa_input(docs: DataFrame, encounters: DataFrame, patients: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,15 +38,26 @@ def local_session(app: str = "chartweave", cores: int = 8, **conf: str) -> Spark
     return spark
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    A cluster must name one that driver and executors share; only a local
+    session without the setting gets a temporary folder.
+    """
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set(CHECKPOINT_CONF, folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder the cluster names.
+    """Write ``df`` once as Parquet into the staging folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where a session has
-    none (unit tests) is a temporary one chosen.
+    Later readers take only the columns and rows they need of it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{staging_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

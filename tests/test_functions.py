@@ -116,3 +116,11 @@ def test_redaction(spark):
 def test_entities_match_the_standard_table(spark):
     cells = ["&copy;&middot;&hellip;", "&#x41;&#66;", "&unknown; &", "a&lt;b", "&amp;lt;"]
     assert values(spark, X.decode_entities, cells) == [html.unescape(c) for c in cells]
+
+
+def test_declared_losses_follow_the_schema(spark):
+    from chartweave.plans.loss import declared_losses
+
+    table = spark.createDataFrame([], "condition_id string, patient_id string, display string, onset date, note string, extensions map<string,string>, provenance struct<file:string>, _ord long")
+    got = {(r.path, r.why) for r in declared_losses(spark, {"conditions": table}).collect()}
+    assert got == {("condition_id", "made again on reading"), ("patient_id", "made again on reading"), ("note", "text only"), ("extensions.*", "native for known keys, else text"), ("provenance.file", "made again on reading")}
