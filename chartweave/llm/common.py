@@ -20,10 +20,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors and the driver share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (a unit test) gets a temporary one.
+    A cluster must name one. Only a local session without the setting (a unit test) gets a
+    temporary folder.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
