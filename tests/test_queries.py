@@ -5,12 +5,15 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from chartweave import driver_queries
 from tests.oracle import compare, duck
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 # Whole-export jobs; set ALL_QUERIES=1 to run them too.
 HEAVY = ("fhir_round_trip", "fhir_export_counts", "ccda_clinical", "ccda_encounters", "ccda_observations", "ccda_leftover_sections", "ccda_patients", "sql_dump_rows", "chart_text", "archive_index", "script_lines", "vitals_flowsheet", "bundle_json_size")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+# The text operators have tests of their own in tests/llm.
+QUERIES = {n: q for n, q in entry.queries().items() if n in driver_queries.QUERIES}
+SQL = {n: s for n, s in entry.oracle_sql().items() if n in QUERIES}
 NAMES = [n for n in QUERIES if os.environ.get("ALL_QUERIES") or n not in HEAVY]
 
 
