@@ -12,7 +12,7 @@ Fingerprints that share a key are compared, and only checked links are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,9 +184,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, max_bits: int) -> DataFrame:
     """``(id, key, fp, root, component)`` of every row: ``root`` names its group, ``component`` is the smallest id there."""
-    rows = stage(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
+    return with_components(stage(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints"), lambda fps: links(fps, max_bits))
+
+
+def with_components(rows: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (id, key, fp) with ``root`` and ``component`` of the groups that ``edges`` of the distinct ``fp`` join."""
     fps = stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = stage(components(links(fps, max_bits)), "roots")
+    roots = stage(components(edges(fps)), "roots")
     member = fps.join(roots, fps.fp == roots.node)
     lowest = member.groupBy("root").agg(F.min("first").alias("lowest"))
     linked = member.join(lowest, "root").select("fp", "root", "lowest")
@@ -212,7 +216,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     If that id has several texts in the group, one of them stays, and of rows that repeat it
     one too. Rows without an id stay as they are.
     """
-    groups = grouped(docs, id_col, text_col, words_per_shingle, max_bits).filter("id IS NOT NULL")
+    return one_of_each(docs, grouped(docs, id_col, text_col, words_per_shingle, max_bits), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each of ``groups``, as ``near_dedup`` picks it."""
+    groups = groups.filter("id IS NOT NULL")
     keep = groups.filter("id = component").groupBy("root").agg(F.min("key").alias("kept"))
     of = groups.groupBy("root", "key").agg(F.count("*").alias("times")).join(keep, "root")
     # Written out, their size is known before the texts are read: while few rows go, texts aren't shuffled.
