@@ -14,7 +14,7 @@ from chartweave.sources.tsv import path_exists
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ITEM_SCHEMA = "item_key string, seq long, state string, attempts int, last_error_type string, destination_doc_id string, claimed_by string, illegal int, retry_at_ms long"
-_KEPT = "seq long, state string, attempts int, last_error_type string, destination_doc_id string, run_id string, illegal int, retry_at_ms long"
+_MOVE = "to_state string, run_id string, error_type string, destination_doc_id string"
 
 
 def _text(value) -> str | None:
@@ -22,40 +22,51 @@ def _text(value) -> str | None:
 
 
 class ItemState(StatefulProcessor):
-    """Current state of each item, illegal moves counted, retries timed."""
+    """Current state of each item, illegal moves counted, retries timed.
+
+    Every transition is kept by its seq and the item is folded from them in seq order, so a
+    late one counts where it belongs and a re-sent one is told from it however late it is.
+    State grows with the transitions of an item.
+    """
 
     def __init__(self, base_s: float = 2.0, timers: bool = True) -> None:
         self.base_s, self.timers = base_s, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", _KEPT)
+        self.moves = handle.getMapState("moves", "seq long", _MOVE)
+        self.due = handle.getValueState("due", "retry_at_ms long")
+
+    def _fold(self) -> tuple:
+        """seq, state, attempts, last error, document id, run and illegal moves of the item."""
+        seq, state, attempts, error, doc, run, illegal = -1, "pending", 0, None, None, None, 0
+        for (at,), (to_state, run_id, tag, doc_id) in sorted(self.moves.iterator(), key=lambda m: m[0][0]):
+            if tag != RECOVERY_TAG and to_state not in EDGES.get(state, ()):
+                illegal += 1
+            seq, state, run = int(at), to_state, run_id
+            error, doc = tag or error, doc_id or doc
+            attempts += state == "retry_wait"
+        return seq, state, attempts, error, doc, run, illegal
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self.item.get() if self.item.exists() else (-1, "pending", 0, None, None, None, 0, 0)
-        seq, state, attempts, error, doc, run, illegal, retry_at = kept
-        moves = [r for frame in rows for r in frame.itertuples(index=False)]
-        for r in sorted(moves, key=lambda m: m.seq):
-            if r.seq <= seq:
-                continue  # a re-sent transition was counted already
-            tag = _text(r.error_type)
-            if tag != RECOVERY_TAG and r.to_state not in EDGES.get(state, ()):
-                illegal += 1
-            seq, state, run = int(r.seq), r.to_state, _text(r.run_id)
-            error, doc = tag or error, _text(r.destination_doc_id) or doc
-            if state == "retry_wait":
-                attempts += 1
-            if state == "retry_wait" and self.timers:
-                retry_at = timerValues.getCurrentProcessingTimeInMs() + int(self.base_s * 1000 * 2 ** (attempts - 1))
-                self.handle.registerTimer(retry_at)
-        self.item.update((seq, state, attempts, error, doc, run, illegal, retry_at))
+        before = self._fold()[0]
+        for r in (r for frame in rows for r in frame.itertuples(index=False)):
+            if not self.moves.containsKey((int(r.seq),)):  # a re-sent transition was counted already
+                self.moves.updateValue((int(r.seq),), (r.to_state, _text(r.run_id), _text(r.error_type), _text(r.destination_doc_id)))
+        seq, state, attempts, error, doc, run, illegal = self._fold()
+        retry_at = self.due.get()[0] if self.due.exists() else 0
+        if state == "retry_wait" and seq > before and self.timers:
+            retry_at = timerValues.getCurrentProcessingTimeInMs() + int(self.base_s * 1000 * 2 ** (attempts - 1))
+            self.handle.registerTimer(retry_at)
+            self.due.update((retry_at,))
         yield self._row(key[0], seq, state, attempts, error, doc, run, illegal, retry_at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """ST-03. The wait is over: the item is due again, unless it moved on."""
-        if not self.item.exists():
+        if not self.due.exists():
             return
-        seq, state, attempts, error, doc, run, illegal, retry_at = self.item.get()
+        seq, state, attempts, error, doc, run, illegal = self._fold()
+        retry_at = self.due.get()[0]
         if state == "retry_wait" and expiredTimerInfo.getExpiryTimeInMs() >= retry_at:
             yield self._row(key[0], seq, "retry_due", attempts, error, doc, run, illegal, retry_at)
 
@@ -89,12 +100,15 @@ def upsert_items(batch: DataFrame, table: str, version: int) -> None:
     """Fold a micro-batch of item states into the stored item table.
 
     Each version is a new folder named by the batch, so a batch that is run
-    again after a failure reads the same base and gives the same result.
+    again after a failure reads the same base and gives the same result. Version 0
+    starts the table; a later one whose base is missing is an error.
     """
     spark = batch.sparkSession
     previous = f"{table}/v{version - 1}"
     latest = batch.groupBy("item_key").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "item_key"]), "seq").alias("r")).select("item_key", "r.*")
-    if version > 0 and path_exists(spark, previous):
+    if version > 0:
+        if not path_exists(spark, previous):
+            raise FileNotFoundError(f"{previous}: the item table's previous version is missing")
         base = spark.read.parquet(previous)
         latest = base.join(latest.select("item_key"), "item_key", "left_anti").unionByName(latest)
     latest.write.mode("overwrite").parquet(f"{table}/v{version}")

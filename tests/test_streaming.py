@@ -1,5 +1,6 @@
 """Streams against the batch fold, with restarts and re-sent rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from chartweave.plans import ledger
@@ -98,3 +99,25 @@ def test_deliveries_run_in_order(spark, tmp_path):
 
     df = spark.range(5).toDF("id")
     assert reports.deliver({"ccda": (df, sink("ccda")), "archive": (df, sink("archive"))}) == {"archive": 5, "ccda": 5} and seen == ["archive", "ccda"]
+
+
+def test_late_transitions_count_where_they_belong(spark, tmp_path):
+    src, table, ckpt = str(tmp_path / "in"), str(tmp_path / "items"), str(tmp_path / "ckpt")
+    # The later half comes first, then the rest with a re-sent row.
+    for part in (MOVES[5:], MOVES[:6]):
+        rows(spark, part).coalesce(1).write.mode("append").parquet(src)
+        live.stream_state_counts(spark.readStream.schema(SCHEMA).parquet(src), table, ckpt).awaitTermination()
+    version = max(int(p.name[1:]) for p in (tmp_path / "items").glob("v*"))
+    got = {r.item_key: r for r in spark.read.parquet(f"{table}/v{version}").collect()}
+    batch = rows(spark, MOVES)
+    want = {r.item_key: r for r in ledger.current_items(batch).collect()}
+    same = ("state", "attempts", "last_error_type", "destination_doc_id", "claimed_by")
+    assert {k: [r[c] for c in same] for k, r in got.items()} == {k: [r[c] for c in same] for k, r in want.items()}
+    illegal = {r.item_key: r["count"] for r in ledger.illegal_transitions(batch).groupBy("item_key").count().collect()}
+    assert {k: r.illegal for k, r in got.items()} == {k: illegal.get(k, 0) for k in got}
+
+
+def test_missing_previous_version_is_an_error(spark, tmp_path):
+    batch = spark.createDataFrame([("a", 1, "pending")], "item_key string, seq long, state string")
+    with pytest.raises(FileNotFoundError):
+        live.upsert_items(batch, str(tmp_path / "items"), 3)
