@@ -78,3 +78,34 @@ target AS (SELECT domain, lang, source, tokens AS total, CAST(floor(b + 1e-6) AS
 o AS (SELECT r.*, whole, target - whole * total AS room, CAST('0x' || substr(md5('{mix.seed}:' || whole || ':' || doc_id), 1, 15) AS BIGINT) AS h FROM r JOIN target USING (domain, lang, source)),
 s AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS upto FROM o)
 SELECT domain, lang, source, doc_id, tokens, CAST(e AS INT) AS epoch FROM s, unnest(range(0, CAST(whole + CASE WHEN upto <= room AND room > 0 THEN 1 ELSE 0 END AS BIGINT))) u(e)"""
+
+
+def fill_in_middle(seed: int = 7, spm: int = 50) -> str:
+    """Lines as a list, cut by the draws and joined again."""
+    draw = lambda k: f"CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)"
+    joined = lambda a, b: f"array_to_string(list_slice(u, {a}, {b}), '')"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, len(u) AS n, least({draw(0)} % (len(u) + 1), {draw(1)} % (len(u) + 1)) AS a, greatest({draw(0)} % (len(u) + 1), {draw(1)} % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(2)} % 100 >= 100 THEN 'plain' WHEN {draw(3)} % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, {joined("1", "a")} AS p, {joined("a + 1", "b")} AS m, {joined("b + 1", "n")} AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+
+def divergence(least_docs: int = 3, top: int = 200) -> str:
+    """Counts of every term in every group, and each pair of groups over all terms."""
+    share = lambda c, n: f"CAST(1 + (1000000000::HUGEINT * ({c} + 1)) // ({n} + v) AS BIGINT)"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT lang, source, term, count(*) AS docs, sum(n)::BIGINT AS c FROM (SELECT lang, source, k, term, count(*) AS n FROM (SELECT *, row_number() OVER () AS k FROM d), unnest(w) u(term) GROUP BY ALL) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(c)::BIGINT AS c FROM c GROUP BY ALL HAVING sum(docs) >= {least_docs}),
+own AS (SELECT c.lang, source, term, c.c FROM c JOIN kept USING (lang, term)),
+l AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM kept GROUP BY 1), s AS (SELECT lang, source, sum(c)::BIGINT AS n FROM own GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(s.n, 0) AS n, coalesce(l.v, 0) AS v, coalesce(l.n, 0) AS ln FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source) LEFT JOIN l USING (lang)),
+x AS (SELECT g.lang, g.source, kept.term, coalesce(own.c, 0) AS c, {share("coalesce(own.c, 0)", "g.n")} AS p, {share("kept.c", "g.ln")} AS q FROM g JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+alone AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM x WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM alone
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM terms) WHERE rank <= {top}"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chartweave.llm import decontaminate, html_text, language, lm, mixing, neighbours, oracle, secret_scan, simhash, tokens, toxicity
+from chartweave.llm import decontaminate, divergence, fim, html_text, language, lm, mixing, neighbours, oracle, quality_net, secret_scan, simhash, tokens, toxicity
 from chartweave.llm.common import load
 
 MIX = mixing.Mix(share=0.6, epochs=2, seed=17, weights={("web",): 3.0, ("curated",): 1.0, ("web", "en"): 2.0, ("curated", "de"): 3.0, ("web", "en", "src0"): 4.0})
@@ -55,6 +55,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
-_ALL = (op1_secret_scan, op2_toxicity, op3_nearest_vectors, op4_language_id, op5_decontamination, op6_token_lengths, op7_source_mixing, op8_simhash_groups, op9_lm_score, op10_main_text)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(load(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(load(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.predict(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_secret_scan, op2_toxicity, op3_nearest_vectors, op4_language_id, op5_decontamination, op6_token_lengths, op7_source_mixing, op8_simhash_groups, op9_lm_score, op10_main_text, op11_fill_in_middle, op12_source_divergence, op13_quality)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op1_secret_scan": oracle.secrets(), "op5_decontamination": oracle.contamination(), "op7_source_mixing": oracle.mixing(MIX)}
+SQL: dict[str, str] = {"op1_secret_scan": oracle.secrets(), "op5_decontamination": oracle.contamination(), "op7_source_mixing": oracle.mixing(MIX), "op11_fill_in_middle": oracle.fill_in_middle(), "op12_source_divergence": oracle.divergence()}
