@@ -46,6 +46,15 @@ def stage(df: DataFrame, name: str = "stage", narrow: bool = True) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each followed by as many underscores as no column of ``df`` has after it."""
+    taken = {c.lower() for c in df.columns}
+    end = ""
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 def remainder(id_col: str | Column, n: int) -> Column:
     """crc32 of an id as text, modulo ``n``; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

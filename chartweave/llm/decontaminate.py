@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import byte_table, row_key, slices, spread_rows, stage
+from chartweave.llm.common import byte_table, free, row_key, slices, spread_rows, stage
 
 WINDOW = 10
 #: Item words that one pass over the texts looks for; larger item tables take several passes.
@@ -212,7 +212,8 @@ def contamination_by_id(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a window of an item."""
+    """``docs`` without the rows that hold a window of an item; columns of any name are kept."""
+    (name,) = free(docs, "contaminated_key")
     # Written out, its size is known before the texts are read: while it is small they aren't shuffled.
-    bad = stage(contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col("key").alias("_bad")), "contaminated")
-    return docs.join(bad, row_key(id_col, text_col) == F.col("_bad"), "left_anti")
+    bad = stage(contamination(docs, items, id_col, text_col).filter("contaminated").select(F.col("key").alias(name)), "contaminated")
+    return docs.join(bad, row_key(id_col, text_col) == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ from chartweave.llm.common import slices, spread_rows, stage
 #: Documents of a language that a term must occur in, and places of a source's list of terms.
 LEAST_DOCS, TOP = 3, 200
 #: Entries (term and source) a partition holds before it spills, and pairs a task sums before it passes them on.
-HELD, PAIRS = 150_000, 1_000_000
+HELD, PAIRS = 400_000, 1_000_000
 #: Groups (language and source) whose totals may be sent to every task: 30 MB at most for names of 100 bytes.
 MOST_GROUPS = 200_000
 #: First ranks are taken in so many parts of a group's terms, so that none is ordered by one task.

@@ -200,8 +200,13 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language can't be told: null, no letter, or no known n-gram."""
+    """``docs`` without the rows whose language can't be told: null, no letter, or no known n-gram.
+
+    A table that has letters but no text with a language to learn from is refused, as all of it would go.
+    """
     filters = fit(docs, id_col, text_col, lang_col)
+    if not filters.languages and not docs.filter(F.col(text_col).rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no text has a language to learn from")
     held = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.table, filters.noise))
     at = docs.columns.index(text_col)
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import stage
+from chartweave.llm.common import free, stage
 
 TREE = ("domain", "lang", "source")
 BUCKETS = 4096
@@ -151,13 +151,15 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", tex
     """``docs`` as the mixture takes them, with the ``epoch`` of each copy.
 
     The table of leaves, a row for each source, is written out first: its size is known
-    before the texts are read, and while it is small they aren't shuffled for it.
+    before the texts are read, and while it is small they aren't shuffled for it. A column
+    ``epoch`` of ``docs`` is replaced; columns of any other name are kept.
     """
-    own = [F.col(c) for c in docs.columns if c != "epoch"]
-    leaf = plan(stage(with_tree(docs, id_col, text_col, lang_col, source_col), "leaf-rows"), mix).select(*(F.col(c).alias(f"_{c}") for c in (*TREE, "full", "last")))
+    own = [F.col(c) for c in docs.columns if c.lower() != "epoch"]
+    domain, lang, source, full, last, times = free(docs, "leaf_domain", "leaf_lang", "leaf_source", "leaf_full", "leaf_last", "times")
+    leaf = plan(stage(with_tree(docs, id_col, text_col, lang_col, source_col), "leaf-rows"), mix).select(*(F.col(c).alias(to) for c, to in zip((*TREE, "full", "last"), (domain, lang, source, full, last), strict=True)))
     leaf = stage(leaf, "leaves")
     named = lambda c: F.coalesce(F.col(c), F.lit("other"))
-    at = (domain_of(F.col(source_col)) == F.col("_domain")) & (named(lang_col) == F.col("_lang")) & (named(source_col) == F.col("_source"))
+    at = (domain_of(F.col(source_col)) == F.col(domain)) & (named(lang_col) == F.col(lang)) & (named(source_col) == F.col(source))
     joined = docs.join(leaf, at)
-    more = F.coalesce(seeded(F.coalesce(F.col(id_col).cast("string"), F.lit("")), mix.seed, F.col("_full")) <= F.col("_last"), F.lit(False))
-    return joined.withColumn("_n", F.col("_full") + more.cast("int")).filter("_n > 0").select(*own, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("epoch"))
+    more = F.coalesce(seeded(F.coalesce(F.col(id_col).cast("string"), F.lit("")), mix.seed, F.col(full)) <= F.col(last), F.lit(False))
+    return joined.withColumn(times, F.col(full) + more.cast("int")).filter(F.col(times) > 0).select(*own, F.explode(F.sequence(F.lit(0), F.col(times) - 1)).alias("epoch"))

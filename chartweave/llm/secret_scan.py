@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartweave.llm.common import free
+
 #: Kinds in the order that breaks ties of a start.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 # The patterns of known shapes. The last two are the maximal runs that are long enough.
@@ -154,13 +156,15 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()
 
     Positions are code points, ends exclusive. A span of the entropy scan is added unless a
     base span covers it; base spans always stay. Null and empty texts have no spans; rows that
-    repeat have the same ones; an empty table stays empty; all columns are carried along.
+    repeat have the same ones; an empty table stays empty. All columns are carried along,
+    but those named ``secret_base`` and ``secret_all`` are replaced.
     """
+    (extra,) = free(docs, "secret_added")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumn("secret_base", F.array_sort(base_spans(text)))
-    added = base.withColumn("_added", entropy_spans(text, rules))
-    fresh = F.filter("_added", lambda a: ~F.exists("secret_base", lambda b: (b["start"] <= a["start"]) & (b["end"] >= a["end"])))
-    return added.withColumn("secret_all", F.when(F.size("_added") > 0, F.array_sort(F.concat("secret_base", fresh))).otherwise(F.col("secret_base"))).drop("_added")
+    added = base.withColumn(extra, entropy_spans(text, rules))
+    fresh = F.filter(extra, lambda a: ~F.exists("secret_base", lambda b: (b["start"] <= a["start"]) & (b["end"] >= a["end"])))
+    return added.withColumn("secret_all", F.when(F.size(extra) > 0, F.array_sort(F.concat("secret_base", fresh))).otherwise(F.col("secret_base"))).drop(extra)
 
 
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -173,16 +177,20 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with each span of a secret replaced by ``MARK``; overlapping spans become one.
 
-    Rows without a secret are unchanged; in the others ``length_col``, if there, is counted anew.
+    Rows without a secret are unchanged; in the others ``length_col``, if there, is counted
+    anew. Columns of any name are kept.
     """
-    found = scan_secrets(docs, text_col, rules)
+    # The row travels in one struct, so that no column of it can clash with a name used here.
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    found = scan_secrets(packed, "text", rules)
     spans = F.transform("secret_all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     # Running end of sorted spans: overlaps are joined from left to right.
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("clear"))
     step = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["clear"], F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end"))))).otherwise(acc["clear"]).alias("clear"))
-    clear = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["clear"], F.array(F.struct(acc["at"].alias("start"), F.length(text_col).alias("end")))))
-    text = F.when(F.size("secret_all") > 0, F.array_join(F.transform(clear, lambda c: F.substring(F.col(text_col), c["start"] + 1, c["end"] - c["start"])), MARK)).otherwise(F.col(text_col))
-    out = found.withColumn("_text", text).withColumn(text_col, F.col("_text"))
+    clear = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["clear"], F.array(F.struct(acc["at"].alias("start"), F.length("text").alias("end")))))
+    text = F.when(F.size("secret_all") > 0, F.array_join(F.transform(clear, lambda c: F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"])), MARK)).otherwise(F.col("text"))
+    out = found.withColumn("clear", text)
+    new = {text_col: F.col("clear")}
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.size("secret_all") > 0, F.length("_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+        new[length_col] = F.when(F.size("secret_all") > 0, F.length("clear").cast(docs.schema[length_col].dataType)).otherwise(F.col("row").getField(length_col))
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import byte_table, row_key, slices, spread_rows, stage
+from chartweave.llm.common import byte_table, free, row_key, slices, spread_rows, stage
 from chartweave.llm.graph import components
 
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, a generator of the binary Golay code.
@@ -220,16 +220,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with one row of each of ``groups``, as ``near_dedup`` picks it."""
+    """``docs`` with one row of each of ``groups``, as ``near_dedup`` picks it; columns of any name are kept."""
+    own, gone_key, twice_key, place = free(docs, "own_key", "gone_key", "twice_key", "place")
     groups = groups.filter("id IS NOT NULL")
     keep = groups.filter("id = component").groupBy("root").agg(F.min("key").alias("kept"))
     of = groups.groupBy("root", "key").agg(F.count("*").alias("times")).join(keep, "root")
     # Written out, their size is known before the texts are read: while few rows go, texts aren't shuffled.
-    gone = stage(of.filter("key <> kept").select(F.col("key").alias("_gone")).distinct(), "gone")
-    twice = stage(of.filter("key = kept AND times > 1").select(F.col("key").alias("_twice")), "twice")
+    gone = stage(of.filter("key <> kept").select(F.col("key").alias(gone_key)).distinct(), "gone")
+    twice = stage(of.filter("key = kept AND times > 1").select(F.col("key").alias(twice_key)), "twice")
     key = row_key(id_col, text_col)
-    named = docs.filter(F.col(id_col).isNotNull()).join(gone, key == F.col("_gone"), "left_anti")
-    once = named.join(twice, key == F.col("_twice"), "left_anti")
-    repeated = named.withColumn("_key", key).join(twice, F.col("_key") == F.col("_twice"), "left_semi")
-    first = repeated.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_n = 1").select(*docs.columns)
+    named = docs.filter(F.col(id_col).isNotNull()).join(gone, key == F.col(gone_key), "left_anti")
+    once = named.join(twice, key == F.col(twice_key), "left_anti")
+    repeated = named.withColumn(own, key).join(twice, F.col(own) == F.col(twice_key), "left_semi")
+    first = repeated.withColumn(place, F.row_number().over(Window.partitionBy(own).orderBy(own))).filter(F.col(place) == 1).select(*docs.columns)
     return once.unionByName(first).unionByName(docs.filter(F.col(id_col).isNull()))
