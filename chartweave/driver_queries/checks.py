@@ -103,13 +103,24 @@ def run_checks(spark, sf):
     return qa.check_verdicts(results)
 
 
-@query("fuzzy_identity")
+# Names by rule: written out; misspelt inside the text, which a short name can't reach with its slack but a long one
+# can; misspelt at the end of the text, where no slack is left; halves swapped; somebody else's; none.
+@query("fuzzy_identity", """
+SELECT CAST(doc_id AS VARCHAR) AS item_key, CASE WHEN doc_id % 7 = 6 THEN 'skip' WHEN doc_id % 5 = 0 THEN 'fail' WHEN doc_id % 7 IN (0, 2, 3) THEN 'pass' ELSE 'fail' END AS status FROM documents""")
 def fuzzy_identity(spark, sf):
-    """VER-03/04 with near and wrong names; difflib ratios have no SQL form."""
-    d = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("item_key"), F.concat(F.lit("Name Q"), F.col("doc_id").cast("string"), F.lit(" Family")).alias("display_name"), F.expr("date_add(DATE'1950-01-01', CAST(doc_id % 9000 AS INT))").alias("birth_date"), "text", "doc_id")
-    shown = F.expr("CASE doc_id % 3 WHEN 0 THEN display_name WHEN 1 THEN concat('Name  Q', doc_id, ' Famly') ELSE 'Somebody Else' END")
-    head = F.concat_ws("\n", F.lit("Clinic"), shown, F.when(F.col("doc_id") % 5 != 0, F.date_format("birth_date", "M-d-yyyy")))
-    return verify.verify_identity(d.withColumn("text", head))
+    """VER-03/04 over whole texts, with the name and the birth date put into their middle or at their end."""
+    d = load(spark, sf, "documents").withColumn("k", F.col("doc_id") % 7).withColumn("birth_date", F.expr("date_add(DATE'1950-01-01', CAST(doc_id % 9000 AS INT))"))
+    short, long = F.concat(F.lit("Name Q"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("Family")), F.concat(F.lit("Maximiliana Theodora Q"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(" von Hohenfels-Wittgenau"))
+    name = F.when(F.col("k").isin(1, 3), short).when(F.col("k") == 6, F.lit("")).otherwise(long)
+    shown = (
+        F.when(F.col("k") == 0, F.replace(F.upper(name), F.lit(" "), F.lit("\n "))).when(F.col("k").isin(1, 3), F.replace(name, F.lit("Fam"), F.lit("Fzm")))
+        .when(F.col("k") == 2, F.replace(name, F.lit("Hohen"), F.lit("Hoken"))).when(F.col("k") == 4, F.concat(F.substring_index(name, " ", -2), F.lit(" "), F.substring_index(name, " ", 2))).otherwise("1234567 987654321")
+    )
+    half = F.floor(F.length("text") / 2).cast("int")
+    born = F.when(F.col("doc_id") % 5 != 0, F.date_format("birth_date", "M-d-yyyy"))
+    middle = F.concat_ws("\n", F.substring(F.col("text"), F.lit(1), half), born, shown, F.concat(F.lit("later "), F.substring(F.col("text"), half + 1, F.length("text"))), F.lit("and that was all of it, as far as is known"))
+    end = F.concat_ws("\n", F.col("text"), born, shown)
+    return verify.verify_identity(d.select(F.col("doc_id").cast("string").alias("item_key"), name.alias("display_name"), "birth_date", F.when(F.col("k") == 3, end).otherwise(middle).alias("text"))).select("item_key", "status")
 
 
 @query("ladder", """

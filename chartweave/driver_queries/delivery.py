@@ -207,9 +207,16 @@ def type_scale(spark, sf):
     return layout.type_scale(spans(spark, sf))
 
 
-@query("section_taxonomy")
+@query("section_taxonomy", f"""
+WITH {SPANS_SQL}, b AS (SELECT font, bold, CAST(round((size - 8.1) * 10) AS INT) // 3 AS k, size, w FROM sp),
+c AS (SELECT font, bold, CAST(round(sum(size * w) / sum(w), 1) AS DOUBLE) AS size, sum(w) AS weight FROM b GROUP BY font, bold, k), m AS (SELECT font AS bf, size AS bs, bold AS bb FROM c ORDER BY weight DESC, size DESC, font DESC LIMIT 1),
+j AS (SELECT *, font = bf AND size = bs AND bold = bb AS isb, NOT (font = bf AND size = bs AND bold = bb) AND (size > bs + 0.25 OR (bold AND NOT (font = bf AND abs(size - bs) <= 0.25))) AS h FROM c, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY size DESC, font, bold) AS rn FROM j),
+heads AS (SELECT sp.*, 'h' || least(rn, 3) AS role, round(CAST(y0 AS DOUBLE) / CAST(ph AS DOUBLE), 3) AS y FROM sp JOIN r ON sp.font = r.font AND CAST(sp.size AS DOUBLE) = r.size AND sp.bold = r.bold AND r.h),
+n AS (SELECT greatest(CAST(ceil(count(DISTINCT sample_index) * 0.6) AS BIGINT), 1) AS t FROM sp),
+lines AS (SELECT line AS text, first(role ORDER BY sample_index, page_index, y0, x0, role) AS role, count(DISTINCT sample_index) AS n_samples_with, round(median(y), 3) AS median_y, bool_and(page_index = 0) AS first_page_only FROM heads GROUP BY 1)
+SELECT text, role, n_samples_with, median_y, first_page_only FROM lines, n WHERE n_samples_with >= t""")
 def section_taxonomy(spark, sf):
-    """LAY-04 over all spans; roles depend on ties the SQL form cannot fix."""
     return layout.section_taxonomy(spans(spark, sf))
 
 

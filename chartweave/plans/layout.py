@@ -2,19 +2,19 @@
 
 ``spans``: ``sample_index, page_index, text, font, size, bold, x0, y0, x1, y1,
 page_width, page_height``. Positions and sizes come rounded to 0.1 pt, so the
-distinct values of a page scale are few, whatever the number of spans; every
-fold below first reduces to those distinct values.
+distinct values of a page scale are few, whatever the number of spans.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartweave.functions.codes import luminance
 from chartweave.functions.text import norm_text, strip
+from chartweave.operators.selection import counted_medians, exact_quantiles, greedy_ranges
 
 # Tolerances and thresholds.
 SIZE_TOLERANCE = 0.25
@@ -32,36 +32,11 @@ LABEL_PATTERNS = (
 )
 
 
-def greedy_buckets(pairs: Column, tolerance: float) -> Column:
-    """Group sorted (value, weight) structs; a bucket spans its first value + tolerance.
-
-    Gives ``ARRAY<STRUCT<mean,total>>``, means rounded to 0.1.
-    """
-    empty = F.array().cast("array<struct<start:double,vw:double,w:double>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fresh = F.struct(p["v"].alias("start"), (p["v"] * p["w"]).alias("vw"), p["w"].cast("double").alias("w"))
-        grown = F.struct(last["start"].alias("start"), (last["vw"] + p["v"] * p["w"]).alias("vw"), (last["w"] + p["w"]).alias("w"))
-        new = (F.size(acc) == 0) | (p["v"] - last["start"] > tolerance)
-        return F.when(new, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
-
-    merged = F.aggregate(pairs, empty, step)
-    return F.transform(merged, lambda b: F.struct(F.round(b["vw"] / b["w"], 1).alias("mean"), b["w"].cast("bigint").alias("total")))
-
-
-def _buckets(values: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Greedy buckets of (``v``, ``w``) rows per key."""
-    exact = values.groupBy(*keys, "v").agg(F.sum("w").alias("w"))
-    lists = exact.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("p"))
-    return lists.select(*keys, F.explode(greedy_buckets(F.col("p"), tolerance)).alias("b")).select(*keys, "b.mean", "b.total")
-
-
 def type_clusters(spans: DataFrame, tolerance: float = SIZE_TOLERANCE) -> DataFrame:
     """LAY-01. (font, size, bold) clusters weighted by characters."""
     weight = F.greatest(F.length(strip("text")), F.lit(1)).cast("bigint")
     rows = spans.select("font", "bold", F.col("size").cast("double").alias("v"), weight.alias("w"))
-    return _buckets(rows, ["font", "bold"], tolerance).select("font", F.col("mean").alias("size"), "bold", F.col("total").alias("weight"))
+    return greedy_ranges(rows, ["font", "bold"], tolerance).select("font", F.col("mean").alias("size"), "bold", F.col("total").alias("weight"))
 
 
 def type_scale(spans: DataFrame) -> DataFrame:
@@ -103,9 +78,12 @@ def section_taxonomy(spans: DataFrame) -> DataFrame:
     """LAY-04. Recurring heading texts with their role, count and position."""
     h = heading_spans(spans)
     y = F.round(F.col("y0") / F.coalesce(F.nullif("page_height", F.lit(0.0)), F.lit(1.0)), 3)
+    h = h.withColumn("y", y)
+    # The role of the first span counts; spans at the same place are ordered by role.
     stats = h.groupBy("line").agg(
-        F.min_by("role", F.struct("sample_index", "page_index", "y0", "x0")).alias("role"), F.countDistinct("sample_index").alias("n_samples_with"),
-        F.round(F.median(y), 3).alias("median_y"), F.bool_and(F.col("page_index") == 0).alias("first_page_only"))
+        F.min_by("role", F.struct("sample_index", "page_index", "y0", "x0", "role")).alias("role"), F.countDistinct("sample_index").alias("n_samples_with"),
+        F.bool_and(F.col("page_index") == 0).alias("first_page_only"))
+    stats = stats.join(counted_medians(h, ["line"], "y").select("line", F.round("median", 3).alias("median_y")), "line", "left")
     return stats.crossJoin(sample_count(spans)).filter(F.col("n_samples_with") >= F.col("threshold")).select(
         F.col("line").alias("text"), "role", "n_samples_with", "median_y", "first_page_only").orderBy("median_y", F.desc("n_samples_with"), "text")
 
@@ -118,18 +96,18 @@ def static_text(spans: DataFrame, headings: DataFrame | None = None) -> DataFram
     return found.join(headings.select("text"), "text", "left_anti")
 
 
-def column_grid(spans: DataFrame) -> DataFrame:
-    """LAY-05, WIN-09. The most used column starts, left to right."""
-    rows = spans.select(F.lit(0).alias("g"), F.col("x0").cast("double").alias("v"), F.lit(1).cast("bigint").alias("w"))
-    top = _buckets(rows, ["g"], COLUMN_TOLERANCE).orderBy(F.desc("total"), "mean").limit(MAX_COLUMNS)
+def column_grid(spans: DataFrame, k: int = MAX_COLUMNS) -> DataFrame:
+    """LAY-05, WIN-09. The ``k`` most used column starts, left to right."""
+    rows = spans.select(F.col("x0").cast("double").alias("v"), F.lit(1).cast("bigint").alias("w"))
+    top = greedy_ranges(rows, [], COLUMN_TOLERANCE).orderBy(F.desc("total"), "mean").limit(k)
     return top.select(F.col("mean").alias("x0"), F.col("total").alias("n")).orderBy("x0")
 
 
 def gutters(rects: DataFrame) -> DataFrame:
     """LAY-05. Clustered vertical edges of filled rectangles."""
     edges = rects.filter(F.col("fill_color").isNotNull()).select(F.explode(F.array("x0", "x1")).alias("v"))
-    rows = edges.select(F.lit(0).alias("g"), F.col("v").cast("double").alias("v"), F.lit(1).cast("bigint").alias("w"))
-    return _buckets(rows, ["g"], COLUMN_TOLERANCE).select(F.col("mean").alias("x"))
+    rows = edges.select(F.col("v").cast("double").alias("v"), F.lit(1).cast("bigint").alias("w"))
+    return greedy_ranges(rows, [], COLUMN_TOLERANCE).select(F.col("mean").alias("x"))
 
 
 def page_breaks(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,11 +123,11 @@ def page_geometry(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """LAY-07. Modal page size and 5% / 95% margins. ``pages``: one row per page."""
     sizes = pages.groupBy("page_width", "page_height").agg(F.count(F.lit(1)).alias("n"))
     modal = sizes.agg(F.max_by(F.struct("page_width", "page_height"), F.struct(F.col("n"), (F.col("page_width") * F.col("page_height")).alias("a"), F.col("page_width").alias("w"))).alias("m"))
-    q = spans.agg(F.percentile("x0", 0.05).alias("l"), F.percentile("x1", 0.95).alias("r"), F.percentile("y0", 0.05).alias("t"), F.percentile("y1", 0.95).alias("b"))
-    both = modal.crossJoin(q)  # two single rows
+    q = exact_quantiles(spans, {"l": ("x0", 0.05), "r": ("x1", 0.95), "t": ("y0", 0.05), "b": ("y1", 0.95)})
+    at = {k: F.lit(v).cast("double") for k, v in q.items()}
     edge = lambda c: F.greatest(F.coalesce(F.round(c, 1), F.lit(0.0)), F.lit(0.0))
     w, h = F.col("m.page_width"), F.col("m.page_height")
-    return both.select(w.alias("width"), h.alias("height"), edge(F.col("l")).alias("margin_left"), edge(w - F.col("r")).alias("margin_right"), edge(F.col("t")).alias("margin_top"), edge(h - F.col("b")).alias("margin_bottom"))
+    return modal.select(w.alias("width"), h.alias("height"), edge(at["l"]).alias("margin_left"), edge(w - at["r"]).alias("margin_right"), edge(at["t"]).alias("margin_top"), edge(h - at["b"]).alias("margin_bottom"))
 
 
 def fill_colors(rects: DataFrame) -> DataFrame:

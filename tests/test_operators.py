@@ -1,11 +1,12 @@
 """Ordered operators against brute force, with one key that holds a third of the rows."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from chartweave.operators import filters, folds, joins, sets, windows
+from chartweave.operators import filters, folds, joins, selection, sets, windows
 from chartweave.plans import layout, verify, views
 
 
@@ -126,6 +127,42 @@ def test_greedy_buckets(spark):
     assert len(got) == len(want) and all(abs(a[0] - b[0]) < 0.11 and a[1] == b[1] for a, b in zip(got, sorted(want), strict=True))
 
 
+def test_greedy_ranges_follow_the_loop(spark):
+    rng = random.Random(6)
+    rows = [(k, round(rng.uniform(0, 30) if k else rng.gauss(300, 200), rng.choice((0, 1, 2))), rng.randrange(1, 5)) for k in (None, 0, 1) for _ in range(700)] + [(7, 3.0, 1), (8, None, 1)]
+    for keys in (["k"], []):
+        got = sorted(tuple(r) for r in selection.greedy_ranges(spark.createDataFrame(rows, "k int, v double, w long"), keys, 1.0).select(*(F.coalesce(c, F.lit(-1)) for c in keys), "mean", "total").collect())
+        want = []
+        for k in {(-1 if r[0] is None else r[0]) if keys else 0 for r in rows}:
+            own, bucket = sorted((v, w) for x, v, w in rows if v is not None and (not keys or (-1 if x is None else x) == k)), []
+            for v, w in [*own, (float("inf"), 0)]:
+                if bucket and round((v - bucket[0][0]) * 1e6 if v < 1e9 else 1e18) > 1e6:
+                    want.append(((k,) if keys else ()) + (sum(a * b for a, b in bucket) / sum(b for _, b in bucket), sum(b for _, b in bucket)))
+                    bucket = []
+                bucket.append((v, w))
+        assert len(got) == len(want) and all(a[:-2] == b[:-2] and abs(a[-2] - b[-2]) <= 0.0500001 and a[-1] == b[-1] for a, b in zip(got, sorted(want), strict=True))
+    assert selection.greedy_ranges(spark.createDataFrame([], "k int, v double, w long"), ["k"], 1.0).count() == 0
+
+
+def test_exact_quantiles_and_medians(spark):
+    import statistics
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = np.concatenate((rng.normal(0, 1e3, 3000), rng.normal(0, 1e-9, 3000), [1e300, -1e300, 0.0], np.round(rng.uniform(0, 5, 4000), 1)))
+    df = spark.createDataFrame([(float(x), float(x) if i % 3 else None) for i, x in enumerate(a)] + [(float("nan"), None)], "a double, b double").repartition(7)
+    shares = (0.0, 0.05, 0.5, 0.95, 1.0)
+    got = selection.exact_quantiles(df, {f"{c}{q}": (c, q) for c in "ab" for q in shares} | {"none": (F.lit(None), 0.5)})
+    for q in shares:
+        assert got[f"a{q}"] == pytest.approx(np.quantile(a, q), rel=1e-12) and got[f"b{q}"] == pytest.approx(np.quantile([x for i, x in enumerate(a) if i % 3], q), rel=1e-12)
+    assert got["none"] is None
+    rows = [(int(rng.integers(0, 9)), round(float(rng.uniform(0, 1)), 3)) for _ in range(999)] + [(100, 0.5), (101, None)]
+    medians = {r.k: r["median"] for r in selection.counted_medians(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
+    want = {k: statistics.median(v for x, v in rows if x == k) for k in {x for x, v in rows if v is not None}}
+    assert medians.keys() == want.keys() and all(math.isclose(medians[k], want[k]) for k in want)
+
+
 def test_one_sample_shows_no_text(spark):
     spans = spark.createDataFrame([(0, f"secret {i}") for i in range(5)], "sample_index int, text string")
     df = spans.select("text", F.lit(1).alias("n"))
@@ -144,13 +181,30 @@ def slow_ratio(needle, haystack):
     return best
 
 
-def test_fuzzy_ratio_against_brute_force(spark):
+@pytest.mark.parametrize("least", [0.88, 0.7])
+def test_name_ratio_against_brute_force(spark, least):
     rng = random.Random(11)
-    words = ["anna", "lee", "smith", "smyth", "clinic", "visit", "jones", "ann", "lees"]
-    rows = [(i, f"{rng.choice(words)} {rng.choice(words)}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))) for i in range(120)]
-    df = verify.with_fuzzy_ratio(spark.createDataFrame(rows, "i int, n string, t string"), "n", "t")
-    for r in df.collect():
-        assert r.ratio == pytest.approx(slow_ratio(r.n, r.t), abs=1e-12)
+    words = ["anna", "lee", "smith", "smyth", "clinic", "visit", "jones", "ann", "lees", "theodora", "hohenfels", "wittgenau"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 2, 6, 9)))), " ".join(rng.choice(words) for _ in range(rng.randrange(1, 60)))) for i in range(150)]
+
+    def misspelt(name):
+        at = rng.randrange(len(name))
+        return name[:at] + rng.choice(["", "x", name[at] + "k"]) + name[at + 1 :]
+
+    rows += [(1000 + i, n, f"{t[: len(t) // 2]} {misspelt(n)} {t[len(t) // 2 :]}" if i % 2 else f"{t} {misspelt(n)}") for i, n, t in rows]
+    rows += [(5000, "", "x"), (5001, "x", ""), (5002, "a", "b"), (5003, "ab", "ba"), (5004, "a", "b " * 3000 + "c")]
+    got = verify.with_name_ratio(spark.createDataFrame(rows, "i int, n string, t string"), "n", "t", least=least).collect()
+    for r in got:
+        want = slow_ratio(r.n, r.t) if r.n and r.t else 0.0
+        assert (r.ratio or 0.0) == pytest.approx(want if want >= least else 0.0, abs=1e-12), (r.n, r.t)
+    assert sum(0 < (r.ratio or 0) < 1 for r in got) > 40
+
+
+def test_few_windows_of_a_long_text_are_compared(spark):
+    name, text = "maximiliana theodora von hohenfels wittgenau", "the visit was on a rainy day and all went well " * 2000
+    rows = [(text,), (f"{text} maximiliana theodore von hohenfels wittgenau {text}",)]
+    sizes = [r.n for r in spark.createDataFrame(rows, "t string").select(F.size(verify.candidate_windows(F.lit(name), F.rtrim("t"))).alias("n")).collect()]
+    assert sizes[0] <= 6 < sizes[1] <= 24  # of 22,000 and 44,000; the first are those at the end, where no slack is left
 
 
 def test_swapped_chart_fails_identity(spark):
