@@ -98,11 +98,30 @@ WITH {INPUT_SQL}
 SELECT doc_id, 'data_integrity' AS "check", CASE WHEN (display_name IS NOT NULL AND k5 = 0) OR (birth_date IS NOT NULL AND k3 = 0) OR k4 = 0 THEN 'fail' WHEN display_name IS NULL AND birth_date IS NULL THEN 'warn' ELSE 'pass' END AS verdict FROM i
 UNION ALL SELECT doc_id, 'date_staleness', 'pass' FROM i UNION ALL SELECT doc_id, 'broken', 'fail' FROM i""")
 def run_checks(spark, sf):
-    d = inputs(spark, sf)
-    results = qa.run_checks({"data_integrity": lambda: qa.check_identity(d), "date_staleness": lambda: qa.check_staleness(d, "1999-12-31"), "broken": lambda: d.select("no_such_column")})
+    results = qa.run_checks(inputs(spark, sf), {"data_integrity": qa.check_identity, "date_staleness": lambda d: qa.check_staleness(d, "1999-12-31"), "broken": lambda d: d.select("no_such_column")})
     return qa.check_verdicts(results)
 
 
+@query("crashed_checks", """
+SELECT doc_id, 'ratio' AS "check", CASE WHEN doc_id = 17 THEN 'fail' WHEN length(text) // abs(doc_id - 17) > 50 THEN 'warn' ELSE 'pass' END AS verdict, CASE WHEN doc_id = 17 THEN 'check crashed (DIVIDE_BY_ZERO)' WHEN length(text) // abs(doc_id - 17) > 50 THEN 'long' END AS finding FROM documents
+UNION ALL SELECT doc_id, 'words', CASE WHEN doc_id % 50 = 3 THEN 'fail' WHEN contains(text, '!!') THEN 'warn' ELSE 'pass' END, CASE WHEN doc_id % 50 = 3 THEN 'check crashed (KeyError)' WHEN contains(text, '!!') THEN 'shouting' END FROM documents
+UNION ALL SELECT doc_id, 'broken', 'fail', 'check crashed (UNRESOLVED_COLUMN.WITH_SUGGESTION)' FROM documents""")
+def crashed_checks(spark, sf):
+    """A Spark check that fails on one document, a Python one that fails on some, and one that can't be planned."""
+
+    def ratio(d):
+        long = F.expr("length(text) div abs(doc_id - 17)") > 50
+        return d.select("doc_id", F.lit("ratio").alias("check"), F.when(long, "warn").otherwise("pass").alias("verdict"), F.when(long, "long").alias("finding"))
+
+    def words(doc):
+        if doc["doc_id"] % 50 == 3:
+            raise KeyError("a document that it can't read")
+        return [("warn", "shouting")] if "!!" in doc["text"] else []
+
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    return qa.run_checks(d, {"ratio": ratio, "words": qa.row_check("words", words, ["doc_id", "text"]), "broken": lambda d: d.select("no_such_column")})
+
+
 # Names by rule: written out; misspelt inside the text, which a short name can't reach with its slack but a long one
 # can; misspelt at the end of the text, where no slack is left; halves swapped; somebody else's; none.
 @query("fuzzy_identity", """

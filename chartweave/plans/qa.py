@@ -8,18 +8,22 @@ gathered into one list.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.functions.dates import date_spellings
 from chartweave.functions.text import present, strip
 from chartweave.operators.folds import VERDICT_RANK, document_verdict
+from chartweave.session import cut_lineage
 
 # Page sizes in points, and the tolerated difference.
 PAGE_SIZES = {"Letter": (612.0, 792.0), "A4": (595.0, 842.0)}
 PAGE_TOLERANCE = 2
+CRASHED = "check crashed ({})"
 # The finding texts of QA-01 to QA-03, which reports are compared by, stand below
 # where they are used ("... not found on document", "... geometry not verified" and the like).
 
@@ -106,22 +110,107 @@ def check_staleness(inputs: DataFrame, run_date: str) -> DataFrame:
     return _rows(inputs, "date_staleness", found)
 
 
-def run_checks(checks: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
-    """QA-05. Rows of every check; one that cannot be planned becomes a failed row."""
-    out, broken = None, []
-    for name, make in checks.items():
-        try:
-            rows = make()
-        except Exception as exc:  # noqa: BLE001 - one bad check must not end the batch
-            broken.append((name, f"check crashed ({type(exc).__name__})"))
+#: Checks by name, each from ``inputs`` to rows ``doc_id, check, verdict, finding``.
+CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {"data_integrity": check_identity}
+#: Parts a failing batch is split into (a power of two), and jobs that look for what fails.
+FAN_OUT_BITS, MOST_JOBS = 4, 2_000
+
+
+def register(name: str):
+    """Add a check under a name; a name that is taken is an error."""
+
+    def add(check: Callable[[DataFrame], DataFrame]):
+        if name in CHECKS:
+            raise ValueError(f"duplicate check {name}")
+        CHECKS[name] = check
+        return check
+
+    return add
+
+
+def row_check(name: str, fn: Callable[[Mapping], Sequence[tuple[str, str]]], columns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """A check from a Python function of one document, which gives its ``(verdict, finding)`` pairs.
+
+    ``columns`` are what it reads. A document it raises on has one failed row, the others have theirs.
+    """
+
+    def check(inputs: DataFrame) -> DataFrame:
+        def run(frames: Iterator):
+            import pandas as pd
+
+            for frame in frames:
+                out = []
+                for row in frame.itertuples(index=False):
+                    doc, values = row[0], dict(zip(columns, row[1:], strict=True))
+                    try:
+                        found = list(fn(values)) or [("pass", None)]
+                    except Exception as exc:  # noqa: BLE001 - one document must not end the batch
+                        found = [("fail", CRASHED.format(type(exc).__name__))]
+                    out += [(doc, name, verdict, finding) for verdict, finding in found]
+                yield pd.DataFrame(out, columns=["doc_id", "check", "verdict", "finding"])
+
+        kind = inputs.schema["doc_id"].dataType.simpleString()
+        return inputs.select("doc_id", *columns).mapInPandas(run, f"doc_id {kind}, check string, verdict string, finding string")
+
+    return check
+
+
+def run_checks(inputs: DataFrame, checks: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, most_jobs: int = MOST_JOBS) -> DataFrame:
+    """QA-05. Rows of every check over every document; where a check crashes, the document has one failed row.
+
+    A check runs once and its rows are written out. If that fails, the batch is split by a
+    hash of the document until the documents that fail stand alone; all others keep what the
+    check says of them. A check that can't be planned fails on every document. ``most_jobs``
+    bounds the search for each check: parts that are left then fail as a whole.
+    """
+    checks = CHECKS if checks is None else checks
+    if not checks:
+        raise ValueError("no check to run")
+    return reduce(DataFrame.unionByName, [_isolated(inputs, name, check, most_jobs) for name, check in checks.items()])
+
+
+def _isolated(inputs: DataFrame, name: str, check: Callable[[DataFrame], DataFrame], most_jobs: int) -> DataFrame:
+    crashed = lambda part, why: part.select("doc_id", F.lit(name).alias("check"), F.lit("fail").alias("verdict"), F.lit(why).alias("finding")).distinct()
+    try:
+        rows = check(inputs)
+    except Exception as exc:  # noqa: BLE001 - one bad check must not end the batch
+        return crashed(inputs, _why(exc))
+    try:
+        return cut_lineage(rows)
+    except Exception as exc:  # noqa: BLE001
+        parts = _failing_parts(inputs, check, _why(exc), most_jobs)
+    good, out = inputs, []
+    for inside, why in parts:
+        good = good.filter(~inside)
+        out.append(crashed(inputs.filter(inside), why))
+    return reduce(DataFrame.unionByName, out, cut_lineage(check(good)))
+
+
+def _failing_parts(inputs: DataFrame, check: Callable[[DataFrame], DataFrame], why: str, most_jobs: int) -> list[tuple[Column, str]]:
+    """Conditions on documents that fail alone, with the reason."""
+    key = F.xxhash64("doc_id")
+    found, todo, jobs = [], [(0, 0, why)], 0
+    while todo:
+        bits, prefix, why = todo.pop()
+        inside = F.shiftrightunsigned(key, 64 - bits) == prefix if bits else F.lit(True)
+        part = inputs.filter(inside)
+        if bits == 64 or jobs >= most_jobs or part.select("doc_id").distinct().limit(2).count() < 2:
+            found.append((inside, why))
             continue
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no check could run")
-    docs = out.select("doc_id").distinct()
-    for name, why in broken:
-        out = out.unionByName(docs.select("doc_id", F.lit(name).alias("check"), F.lit("fail").alias("verdict"), F.lit(why).alias("finding")))
-    return out
+        bits += FAN_OUT_BITS
+        for r in part.select(F.shiftrightunsigned(key, 64 - bits).alias("p")).distinct().collect():
+            jobs += 1
+            try:
+                check(inputs.filter(F.shiftrightunsigned(key, 64 - bits) == r.p)).write.format("noop").mode("overwrite").save()
+            except Exception as exc:  # noqa: BLE001
+                todo.append((bits, r.p, _why(exc)))
+    return found
+
+
+def _why(exc: Exception) -> str:
+    """The kind of error, never its message, which may quote a chart."""
+    condition = exc.getCondition() if isinstance(exc, PySparkException) else None
+    return CRASHED.format(condition or type(exc).__name__)
 
 
 def check_verdicts(results: DataFrame) -> DataFrame:
@@ -129,4 +218,4 @@ def check_verdicts(results: DataFrame) -> DataFrame:
     return document_verdict(results, ["doc_id", "check"])
 
 
-__all__ = ["VERDICT_RANK", "check_identity", "check_layout", "check_staleness", "check_verdicts", "check_vitals", "qa_input", "run_checks"]
+__all__ = ["CHECKS", "VERDICT_RANK", "check_identity", "check_layout", "check_staleness", "check_verdicts", "check_vitals", "qa_input", "register", "row_check", "run_checks"]
