@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartweave.functions.references import patient_ref
-from chartweave.operators.windows import with_source_order
+from chartweave.operators.windows import file_blocks, with_file_order
 from chartweave.sources.tsv import path_exists
 
 HEAD = "resourceType string, id string, patient struct<reference:string>, subject struct<reference:string>, beneficiary struct<reference:string>"
@@ -36,23 +36,27 @@ def read_fhir(spark: SparkSession, folder: str) -> DataFrame:
     """Every resource of every file: ``resource_type, id, patient_id, body, source_file, _ord``."""
     if not path_exists(spark, folder):
         raise FileNotFoundError(folder)
-    pieces = []
-    lines = _files(spark, folder, ".ndjson")
+    lines, docs = _files(spark, folder, ".ndjson"), _files(spark, folder, ".json")
+    scans = {}
     if lines:
-        raw = spark.read.text(lines).select(F.col("_metadata.file_name").alias("source_file"), F.trim("value").alias("body"))
-        pieces.append(with_source_order(raw).filter(F.col("body") != ""))
-    docs = _files(spark, folder, ".json")
+        scans["lines"] = spark.read.text(lines)
     if docs:
-        raw = spark.read.text(docs, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("body"))
-        raw = loud_json(with_source_order(raw).filter(F.col("body").contains('"resourceType"')))
+        scans["docs"] = spark.read.text(docs, wholetext=True)
+    if not scans:
+        raise ValueError(f"no FHIR files in {folder}")
+    # One order over all files, whatever their kind; a row's place in a bundle follows that of its file.
+    blocks, pieces = file_blocks(*scans.values()), []
+    named = {k: with_file_order(s.select("value", F.col("_metadata.file_name").alias("source_file"), "_metadata"), blocks).drop("_metadata") for k, s in scans.items()}
+    if lines:
+        pieces.append(named["lines"].select("source_file", F.trim("value").alias("body"), "_ord").filter(F.col("body") != ""))
+    if docs:
+        raw = loud_json(named["docs"].withColumnRenamed("value", "body").filter(F.col("body").contains('"resourceType"')))
         parsed = F.from_json("body", "resourceType string, entry array<struct<resource:string>>")
         raw = raw.withColumn("_b", parsed)
         many = F.transform(F.coalesce("_b.entry", F.array().cast("array<struct<resource:string>>")), lambda e: e["resource"])
         parts = F.when(F.col("_b.resourceType") == "Bundle", many).otherwise(F.array("body"))
         exploded = raw.select("source_file", F.col("_ord").alias("_file"), F.posexplode(parts).alias("_pos", "body"))
-        pieces.append(exploded.filter(F.col("body").isNotNull()).select("source_file", "body", (F.shiftleft("_file", 20) + F.col("_pos")).alias("_ord")))
-    if not pieces:
-        raise ValueError(f"no FHIR files in {folder}")
+        pieces.append(exploded.filter(F.col("body").isNotNull()).select("source_file", "body", (F.col("_file") + F.col("_pos")).alias("_ord")))
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)

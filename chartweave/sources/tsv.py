@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartweave.operators.windows import with_source_order
+from chartweave.operators.windows import with_file_order, with_source_order
 
 # The tables an export is read for, and their key columns.
 KNOWN_TABLES = {
@@ -76,7 +76,7 @@ def read_tsv_table(
     reader = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False)
     reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     reader = reader.option("nullValue", "\u0000").option("maxCharsPerColumn", -1).option("encoding", "UTF-8")
-    return with_source_order(reader.csv(path))
+    return with_file_order(reader.csv(path))
 
 
 def read_tsv_export(spark: SparkSession, root: str) -> dict[str, DataFrame]:

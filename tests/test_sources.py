@@ -1,6 +1,7 @@
 """Raw exports with the usual traps, read and mapped."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,27 @@ def test_documents(spark, tmp_path):
     with pytest.raises(Exception, match="document is missing"):
         require_files(want, found).collect()
     assert require_files(want.filter(F.col("file_name") == "a.pdf"), found).count() == 1
+
+
+def test_row_order_is_the_same_for_every_split_size(spark, tmp_path):
+    rng, lines = random.Random(2), {}
+    for name in ("b.ndjson", "a.ndjson", "c.json", "aa.json"):
+        ids = [f"{name}-{i}" for i in range(rng.randrange(300, 900))]
+        body = [json.dumps({"resourceType": "Observation", "id": i, "note": "x" * rng.randrange(60)}) for i in ids]
+        text = "\n".join(body) if name.endswith("ndjson") else '{"resourceType": "Bundle", "entry": [' + ",".join(f'{{"resource": {x}}}' for x in body) + "]}"
+        write(tmp_path, name, text)
+        lines[name] = ids
+    write(tmp_path, "t.tsv", "k\tv\n" + "".join(f"{i}\tvalue {i}\n" for i in range(5000)))
+    key, seen = "spark.sql.files.maxPartitionBytes", []
+    for size in ("128m", "7k", "1k"):
+        spark.conf.set(key, size)
+        try:
+            fhir = [(r.id, r._ord) for r in read_fhir(spark, str(tmp_path)).orderBy("_ord").collect()]
+            table = [(r.k, r._ord) for r in tsv.read_tsv_table(spark, str(tmp_path), "t").collect()]
+            assert tsv.read_tsv_table(spark, str(tmp_path), "t").rdd.getNumPartitions() > 1 or size == "128m"
+        finally:
+            spark.conf.unset(key)
+        assert sorted(table) == sorted((str(i), i) for i in range(5000))
+        assert [i for i, _ in fhir] == [i for name in sorted(lines) for i in lines[name]] and len({o for _, o in fhir}) == len(fhir)
+        seen.append(fhir)
+    assert seen[0] == seen[1] == seen[2]
