@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from chartweave.driver_queries.base import load, query
+from chartweave.driver_queries.base import load, query, spread
 from chartweave.driver_queries.exports import DriverExport
-from chartweave.operators import filters, folds, joins, sets, windows
+from chartweave.operators import filters, folds, joins, search, sets, windows
 from chartweave.plans import tsv_mapping as M
+from chartweave.session import staging_folder
 
 
 @query("coded_lookup", """
@@ -209,6 +212,20 @@ def ranked_search(spark, sf):
     return windows.search_patients(index, "SRC1  en").select("id", "display_name", "score")
 
 
+@query("indexed_search", r"""
+WITH i AS (SELECT doc_id AS id, source || ' ' || lang AS display_name, text AS search FROM documents), h AS (SELECT *, lower(search) || ' ' || display_name AS hay FROM i)
+SELECT 'src1 thea' AS query, id, display_name, greatest(CASE WHEN starts_with(display_name, 'src1') THEN 3 WHEN contains(display_name, 'src1') THEN 2 ELSE 1 END, CASE WHEN starts_with(display_name, 'thea') THEN 3 WHEN contains(display_name, 'thea') THEN 2 ELSE 1 END) AS score FROM h WHERE contains(hay, 'src1') AND contains(hay, 'thea')
+UNION ALL SELECT 'de @', id, display_name, greatest(CASE WHEN starts_with(display_name, 'de') THEN 3 WHEN contains(display_name, 'de') THEN 2 ELSE 1 END, 1) FROM h WHERE contains(hay, 'de') AND contains(hay, '@')
+UNION ALL SELECT 'akia', id, display_name, 1 FROM h WHERE contains(hay, 'akia')""")
+def indexed_search(spark, sf):
+    """WIN-08 from trigram bitmaps over all documents: long words, words shorter than a trigram, and a rare one."""
+    index = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("display_name"), F.col("text").alias("search"))
+    folder = f"{staging_folder(spark)}/search-{uuid.uuid4().hex}"
+    search.write_index(spread(index), folder)
+    parts = [search.search_index(spark, folder, q).select(F.lit(q).alias("query"), "id", "display_name", "score") for q in ("src1 thea", "de @", "akia")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("residual_columns", "SELECT o_orderkey, 'x:o_orderpriority=' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ',x:o_orderstatus=' || o_orderstatus ELSE '' END AS tail FROM orders")
 def residual_columns(spark, sf):
     o = load(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderpriority", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'NULL' END AS o_orderstatus")

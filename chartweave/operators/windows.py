@@ -177,11 +177,20 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
 
 
+def search_tokens(query: str) -> list[str]:
+    """The different words of a query."""
+    return list(dict.fromkeys(t for t in query.lower().split() if t))
+
+
+def search_hay() -> Column:
+    """What a page of a search index is searched in."""
+    return F.concat(F.lower(F.coalesce(F.col("search"), F.lit(""))), F.lit(" "), F.lower(F.coalesce(F.col("display_name"), F.lit(""))))
+
+
 def search_patients(index: DataFrame, query: str) -> DataFrame:
     """WIN-08. Ranked search: every token must occur on some page of an entry; name hits rank higher."""
-    tokens = list(dict.fromkeys(t for t in query.lower().split() if t))
-    name = F.lower(F.coalesce(F.col("display_name"), F.lit("")))
-    hay = F.concat(F.lower(F.coalesce(F.col("search"), F.lit(""))), F.lit(" "), name)
+    tokens = search_tokens(query)
+    name, hay = F.lower(F.coalesce(F.col("display_name"), F.lit(""))), search_hay()
     hits = {f"_h{i}": hay.contains(t) for i, t in enumerate(tokens)}
     some, every = F.lit(not tokens), F.lit(True)
     for c in hits:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chartweave.operators import filters, folds, joins, selection, sets, windows
+from chartweave.operators import filters, folds, joins, search, selection, sets, windows
 from chartweave.plans import layout, verify, views
 
 
@@ -163,6 +163,24 @@ def test_exact_quantiles_and_medians(spark):
     assert medians.keys() == want.keys() and all(math.isclose(medians[k], want[k]) for k in want)
 
 
+def test_indexed_search_equals_the_scan(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé@ I") for _ in range(rng.randrange(1, 7)))
+    rows = [(i // 2, word() if i % 9 else None, " ".join(word() for _ in range(rng.randrange(0, 30))) if i % 7 else None) for i in range(400)] + [(900, "x", "y" * 2998 + "needle" + "z" * 5000), (901, "", "")]
+    index = spark.createDataFrame(rows, "id int, display_name string, search string").repartition(5)
+    search.write_index(index, str(tmp_path / "index"))
+    for q in ("needle", "ab", "a b", "bcd é", "@", "abcab", "", "AB  ab", "nothing like it"):
+        want = [tuple(r) for r in windows.search_patients(index, q).collect()]
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in search.search_index(spark, str(tmp_path / "index"), q).collect()), q
+    assert search.candidate_pages(spark, str(tmp_path / "index"), "needle").count() == 1
+
+
+def test_bits_of_a_bitmap(spark):
+    want = sorted(random.Random(1).sample(range(search.BITS), 300)) + [search.BITS - 1]
+    df = spark.createDataFrame([(i + 1,) for i in want], "slot long").agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("b"))
+    assert df.select(search.set_bits("b").alias("x")).first().x == sorted(set(want))
+
+
 def test_one_sample_shows_no_text(spark):
     spans = spark.createDataFrame([(0, f"secret {i}") for i in range(5)], "sample_index int, text string")
     df = spans.select("text", F.lit(1).alias("n"))
