@@ -18,7 +18,9 @@ from pyspark.sql.types import StructType
 from chartweave.llm.common import slices, spread_rows
 
 # Elements by their part in HTML.
-HIDDEN = frozenset("head script style template noscript svg math canvas iframe object audio video select option datalist textarea button title".split())
+#: Elements whose content is no text of the page: raw ones go on to their closing tag whatever stands there, or to the page's end.
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("template noscript svg math canvas iframe object audio video select option datalist button".split())
 BREAKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that stay open until they are closed; the others (p, li, td) end where the next block starts.
 HOLDS = frozenset("article aside blockquote center details dialog div dl fieldset figure footer form header main menu nav ol search section table ul".split())
@@ -29,7 +31,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of a class, id or label that mark what is not article text.
 HINTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adv|banner|sponsor\w*|promo\w*|comments?|comment\w*|reply|replies|respond|disqus|sidebar|side|widget\w*|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|cookie\w*|consent|notice|notices|alert|gdpr|popup|modal|newsletter|subscribe\w*|signup|share|sharing|social|related|recommend\w*|pagination|pager|tags|toolbar|login|search|copyright|legal|disclaimer|skip)(?:$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article\w*|post|post-?body|entry|content|main|story|text|body)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+STOP = re.compile(r"[\"'<>]")
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 FEATURES = ("frame", "hint", "article", "links", "words", "heading", "prev_words", "prev_links", "next_words", "next_links", "has_article")
 
@@ -70,25 +73,106 @@ def by_rule() -> list[str]:
     return out
 
 
+class Tags:
+    """The tags of a page, one after the other, each part of the page looked at a few times at most.
+
+    A tag ends at the first ``>`` outside quotes, or, where quotes or another ``<`` leave none,
+    at the first one there is. A ``<`` that no ``>`` follows is text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.none: set[str] = set()  # what doesn't occur behind the place reached
+        self.ends: dict[str, dict[int, int]] = {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def next(self, at: int) -> tuple | None:
+        """``(start, end, closing, name, attributes)`` of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            m = NAME.match(page, start)
+            if m:
+                end = self.end(m.end())
+            elif page.startswith("<!--", start):
+                end = self.find("-->", start + 4) + 3
+                end = len(page) if end < 3 else end
+            elif page.startswith(("<!", "<?"), start):
+                end = self.find(">", start) + 1
+            else:
+                at = start + 1
+                continue
+            if end > 0:
+                return (start, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]) if m else (start, end, False, "", "")
+            at = start + 1
+        return None
+
+    def end(self, at: int) -> int:
+        """Just behind the ``>`` of a tag whose name ends at ``at``; 0 if there is none."""
+        place = at
+        while m := STOP.search(self.page, place):
+            if m[0] == ">":
+                return m.end()
+            close = self.find(m[0], m.end()) if m[0] != "<" else -1
+            if close < 0:
+                break
+            place = close + 1
+        return self.find(">", at) + 1
+
+    def past_raw(self, name: str, at: int) -> int:
+        """End of a raw element's content and closing tag."""
+        m = None if name in self.none else re.compile(rf"</{name}\s*>", re.I).search(self.page, at)
+        if m is None:
+            self.none.add(name)
+        return m.end() if m else len(self.page)
+
+    def past(self, name: str, start: int) -> int | None:
+        """End of the element that opens at ``start``, or None if it is never closed."""
+        if name not in self.ends:
+            opened, ends = [], {}
+            for m in re.compile(rf"<(/?){name}(?=[\s/>])([^<>]*)>", re.I).finditer(self.page):
+                if m[1]:
+                    if opened:
+                        ends[opened.pop()] = m.end()
+                elif not m[2].rstrip().endswith("/"):
+                    opened.append(m.start())
+            self.ends[name] = ends
+        return self.ends[name].get(start)
+
+
 def blocks(page: str | None, marked: bool = False) -> list[dict]:
     """Text blocks of a page in order, with their features; ``marked`` adds the label ``y``.
 
     Markup that is never closed or opened does no harm: a closing tag ends the nearest open
-    element of its name, and what is left open ends with the page.
+    element of its name, what is left open ends with the page, and an element that hides its
+    content hides nothing if it is never closed. Only scripts, styles and fields of raw text
+    go on to the page's end. Time grows with the length of the page, however deep it nests.
     """
+    from collections import Counter
+
     out: list[dict] = []
     text: list[str] = []
     words = linked = 0
-    held: list[tuple] = []  # name, frame, article, hint, y
+    held: list[tuple] = []  # name, and whether it or one around it is frame, article, hint, y
+    names: Counter = Counter()
     link = False
     own = ("", False)
     page = page or ""
+    tags = Tags(page)
+    around = lambda: held[-1] if held else ("", False, False, False, False)
 
     def close():
         nonlocal text, words, linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append({"text": joined, "words": len(joined.split()), "links": linked / max(words, 1), "frame": any(h[1] for h in held), "article": any(h[2] for h in held), "hint": any(h[3] for h in held) or own[1] is None, "heading": own[0] in ("h1", "h2", "h3", "h4", "h5", "h6"), "y": any(h[4] for h in held) or own[1] is True})
+            _, frame, article, hint, y = around()
+            out.append({"text": joined, "words": len(joined.split()), "links": linked / max(words, 1), "frame": frame, "article": article, "hint": hint or own[1] is None, "heading": own[0] in ("h1", "h2", "h3", "h4", "h5", "h6"), "y": y or own[1] is True})
         text, words, linked = [], 0, 0
 
     def add(part: str):
@@ -101,21 +185,14 @@ def blocks(page: str | None, marked: bool = False) -> list[dict]:
 
     at = 0
     while True:
-        m = TOKEN.search(page, at)
-        add(page[at : m.start() if m else len(page)])
-        if m is None:
+        tag = tags.next(at)
+        add(page[at : tag[0] if tag else len(page)])
+        if tag is None:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        closing = bool(m[1])
-        if name in HIDDEN:
-            if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                if end is None and name == "head":
-                    end = re.compile(r"(?=<body)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        start, at, closing, name, inside_tag = tag
+        if name in RAW or name in HIDDEN:
+            if not closing and not inside_tag.rstrip().endswith("/"):
+                at = tags.past_raw(name, at) if name in RAW else tags.past(name, start) or at
                 text.append(" ")
             continue
         if name == "a":
@@ -126,22 +203,24 @@ def blocks(page: str | None, marked: bool = False) -> list[dict]:
             close()
             if closing:
                 own = ("", False)
-                if name in HOLDS and any(h[0] == name for h in held):
-                    while held.pop()[0] != name:
-                        pass
+                if names[name]:
+                    while True:
+                        last = held.pop()[0]
+                        names[last] -= 1
+                        if last == name:
+                            break
                     link = False
                 continue
-            attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3] or "")}
+            attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(inside_tag)}
             label = " ".join(attributes.get(k, "") for k in ("class", "id"))
-            if "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-                at = _past(page, name, at)
-                continue
-            inside = any(h[2] for h in held)
+            _, frame, inside, hinted, marked_above = around()
             hint = bool(HINTS.search(label)) or attributes.get("role", "") in ROLES
             y = marked and "data-y" in attributes
             if name in HOLDS:
                 # The header of an article holds its title.
-                held.append((name, name in FRAME and not (name == "header" and inside), name in ARTICLE or bool(BODY.search(label)) and not hint, hint, y))
+                is_article = name in ARTICLE or bool(BODY.search(label)) and not hint
+                held.append((name, frame or name in FRAME and not (name == "header" and inside), inside or is_article, hinted or hint, marked_above or y))
+                names[name] += 1
                 own = ("", False)
             else:
                 own = (name, None if hint else y)
@@ -149,18 +228,6 @@ def blocks(page: str | None, marked: bool = False) -> list[dict]:
     return out
 
 
-def _past(page: str, name: str, at: int) -> int:
-    """End of an element whose content isn't shown, with elements of its name inside it."""
-    if name in VOID:
-        return at
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(page)
-
-
 def features(found: list[dict]) -> list[list[float]]:
     """A row of ``FEATURES`` for each block; beyond the page's ends a neighbour has no words."""
     whole = float(any(b["article"] for b in found))

@@ -6,6 +6,7 @@ totals, quantiles and totals truncated at a context limit, for every limit, exac
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,10 @@ from chartweave.llm.common import slices, spread_rows, stage
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the characters that ``\\s`` stands for in the pattern.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space that are encoded by themselves.
+_LONG = re.compile(f"[{_SPACE}]{{10000,}}")
 #: Largest tokenizer file that is sent to the executors.
 MAX_FILE = 64 << 20
 #: Lengths in one block of the suffix sums.
@@ -31,6 +36,21 @@ def ranks_file(spark: SparkSession, path: str) -> bytes:
     return bytes(rows[0].content)
 
 
+def encoded_length(encoding, text: str) -> int:
+    """Tokens of a text.
+
+    The pattern's look-ahead makes the tokenizer step back through a run of white space, deeper
+    than its stack for runs of a million. Such a run is one piece up to its last character,
+    which goes with what follows, or whole at the end of the text: it is encoded as that piece.
+    """
+    n = at = 0
+    for m in _LONG.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
 def token_counts(docs: DataFrame, keep: Sequence[str], text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
     """Columns ``keep`` and ``n_tokens`` of every row; null and empty texts have 0, texts are encoded whole."""
     held = docs.sparkSession.sparkContext.broadcast(ranks_file(docs.sparkSession, path))
@@ -42,9 +62,9 @@ def token_counts(docs: DataFrame, keep: Sequence[str], text_col: str = "text", p
         import tiktoken
 
         ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, held.value.splitlines()) if a}
-        encode = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in slices(batches):
-            n = [len(encode(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
+            n = [encoded_length(encoding, t) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*b.schema.names[:-1], "n_tokens"])
 
     schema = StructType([docs.schema[c] for c in keep]).add("n_tokens", LongType())

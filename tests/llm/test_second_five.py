@@ -147,6 +147,22 @@ def test_token_histogram(spark):
     assert tokens.suffix_sums(tokens.length_histogram(tokens.token_counts(odd(spark).limit(0), ["source"]), ["source"]), ["source"]).count() == 0
 
 
+def test_long_white_space_does_not_stop_the_tokenizer():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, open(tokens.TOKENIZER, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for white in (" ", "\n", "\u3000", " \n\t", "\x1c"):
+        for after in ("", "a", " 1", "!x", " a" * 9, "\x85"):
+            for before in ("", "ab", "x!", " "):
+                text = before + white * 12_000 + after
+                assert tokens.encoded_length(enc, text) == len(enc.encode_ordinary(text))
+                assert tokens.encoded_length(enc, text + text) == len(enc.encode_ordinary(text + text))
+    assert tokens.encoded_length(enc, "a" + " " * 2_000_000 + "b" + "\n" * 1_500_000) > 2
+
+
 # --- LM scores
 
 @pytest.mark.parametrize("frequent", [lm.FREQUENT, 50])
@@ -223,6 +239,18 @@ def test_lm_weights_follow_their_definition():
     assert math.isclose(got, want, rel_tol=1e-4)
 
 
+def test_lm_scores_stay_finite_whatever_the_counts():
+    # One byte 20 million times after the same context, and another once: both bits' chances must hold.
+    framed = bytes(lm.DEPTH)
+    grams = {n: {} for n in range(1, lm.DEPTH + 2)}
+    for n in grams:
+        grams[n] = {(framed + b"a")[-n:]: 2 * 10**7, (framed + b"b")[-n:]: 1}
+    tree = lm.weigh({n: (np.array(sorted(int.from_bytes(g, "big") for g in c), np.int64), np.array([c[g] for g in sorted(c)], np.int64)) for n, c in grams.items()})
+    got = tree.byte_log10(np.array([int.from_bytes(framed + bytes([x]), "big") for x in range(256)], np.uint64))
+    assert np.isfinite(got).all() and math.isclose((10.0**got).sum(), 1.0, rel_tol=1e-5)
+    assert got[ord("a")] > -1e-5 and got[ord("b")] > got[ord("z")]
+
+
 def test_lm_odd_rows(spark):
     assert lm.evaluate(odd(spark)).count() == 8
     assert lm.evaluate(odd(spark).limit(0)).count() == 0
@@ -257,6 +285,30 @@ def test_small_pages(page, want):
     assert html_text.main_text(page, html_text.trained()) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><meta charset=utf-8><title>t</title><article><p>No end of the head was written here at all.</p></article>", "No end of the head was written here at all."),
+    ("<article><p>Before it.</p><svg><path d=x><p>What follows an element that is never closed stays.</p></article>", "Before it.\n\nWhat follows an element that is never closed stays."),
+    ("<article><p>One <button>press<p>Two words here<button>ok</button> and more.</p></article>", "One press\n\nTwo words here and more."),
+    ("<article><p>Shown <svg><text>no</text></svg>text<svg/> of it.</p><div style='display:none'><p>Drop or cap nothing else.</p></div></article>", "Shown text of it.\n\nDrop or cap nothing else."),
+    ("<article><p title='a > b'>Quotes hide the sign.</p><p>1 < 2 and <3 too</p></article>", "Quotes hide the sign.\n\n1 < 2 and <3 too"),
+    ("<article><p>Text</p><script>var a = '<p>';", "Text"),
+])
+def test_markup_that_is_not_closed_loses_no_text(page, want):
+    assert html_text.main_text(page, html_text.trained()) == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"'>", "<div class=x>", "<svg>", '<a x=">"', "<script>", "<!--", "<button>x", "<p>", "</div>", "<a x='<b y=\""])
+def test_time_grows_with_the_page(part):
+    import time
+
+    tree, took = html_text.trained(), []
+    for n in (100_000, 400_000):
+        start = time.process_time()
+        html_text.main_text(part * (n // len(part)), tree)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, 1), (None, "u", "<p>x</p>", 1), (1, "u", "<article>" + "<p>word" * 50_000, 2), (1, "u", "<div " * 20_000, 2)], "page_id long, url string, html string, _html int")
     rows = html_text.extract(df, ["page_id", "url"]).collect()
