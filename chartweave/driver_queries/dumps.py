@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.driver_queries.base import load, ntz, query
+from chartweave.driver_queries.mapping import record_rows, record_sql
 from chartweave.plans import dump_mapping as D
 from chartweave.sources import sqldump
 
@@ -156,3 +157,24 @@ def superseded_versions(spark, sf):
     _, _, closed = D.split_events(t["CLINICAL_EVENT"], t["CE_BLOB"], t["CE_BLOB_RESULT"])
     s = D.superseded(closed, t["CE_BLOB"], D.map_dump_encounters(t["ENCOUNTER"], t["CODE_VALUE"]))
     return s.select(F.col("EVENT_ID").alias("event_id"), "encounter_id", F.md5(F.col("body").cast("binary")).alias("body"), F.try_element_at("payload", F.lit("dump:VALID_UNTIL_DT_TM")).alias("valid_until"))
+
+
+RECORD_SQL = {
+    "identifiers": "SELECT CAST(c_custkey AS VARCHAR) AS patient_id, 'MRN' || c_custkey AS id, 0 AS o FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), '10', 1 FROM customer WHERE c_custkey % 2 = 0",
+    "encounters": "SELECT CAST(o_custkey AS VARCHAR) AS patient_id, o_orderkey AS id, o_orderkey AS o FROM orders",
+    "observations": f"SELECT CAST(user_id AS VARCHAR) AS patient_id, event_id AS id, event_id AS o FROM events WHERE event_id % 10 <> 9 AND event_type NOT IN ('signup', 'error') AND event_id NOT IN (SELECT e FROM {BODIES})",
+    "conditions": f"SELECT CAST(user_id AS VARCHAR) AS patient_id, event_id AS id, event_id AS o FROM events WHERE event_id % 10 <> 9 AND event_type = 'signup' AND event_id NOT IN (SELECT e FROM {BODIES})",
+    "allergies": f"SELECT CAST(user_id AS VARCHAR) AS patient_id, event_id AS id, event_id AS o FROM events WHERE event_id % 10 <> 9 AND event_type = 'error' AND event_id NOT IN (SELECT e FROM {BODIES})",
+    "documents": "SELECT CAST(user_id AS VARCHAR) AS patient_id, NULL AS id, 0 AS o FROM (SELECT DISTINCT user_id, event_id FROM events JOIN conversations ON conv_id * 3 = event_id WHERE event_id % 10 <> 9 AND turn % 5 <> 4) UNION ALL SELECT CAST(user_id AS VARCHAR), NULL, 0 FROM events JOIN orders ON o_orderkey * 7 = event_id WHERE event_id % 10 <> 9",
+    "sections": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS patient_id, event_id AS id, event_id AS o FROM events JOIN conversations ON conv_id * 3 = event_id WHERE event_id % 10 <> 9 AND turn % 5 <> 4",
+    "superseded": "SELECT CAST(o_custkey AS VARCHAR) AS patient_id, event_id AS id, event_id AS o FROM events JOIN orders ON o_orderkey = event_id % 400 WHERE event_id % 10 = 9",
+    "undecoded_blobs": "SELECT CAST(user_id AS VARCHAR) AS patient_id, event_id AS id, conv_id * 4096 + turn AS o FROM events JOIN conversations ON conv_id * 3 = event_id WHERE event_id % 10 <> 9 AND turn % 5 = 4",
+}
+
+
+@query("dump_record_assembly", "WITH parents AS (SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_name || ', ' || c_mktsegment AS name FROM customer), " + record_sql(RECORD_SQL, 5))
+def dump_record_assembly(spark, sf):
+    """JN-03 over all child tables, note sections, closed versions and undecoded parts with them; five items a page."""
+    record = D.assemble(D.map_dump_export(dump_tables(spark, sf)), page_rows=5)
+    ids = {"identifiers": "value", "encounters": "encounter_id", "observations": "observation_id", "conditions": "condition_id", "allergies": "allergy_id", "documents": None, "sections": "EVENT_ID", "superseded": "EVENT_ID", "undecoded_blobs": "EVENT_ID"}
+    return record_rows(record, "family_name", ids)

@@ -316,32 +316,64 @@ SELECT 'm-' || p_partkey AS medication_id, count(DISTINCT 'rx-' || l_orderkey) A
 FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey LEFT JOIN st ON rx = 'rx-' || l_orderkey GROUP BY 1""")
 def medication_history(spark, sf):
     t = DriverExport(spark, sf)
-    med = M.map_medications(t["patient-medications"]).select("medication_id")
-    rx = M.map_prescriptions(t["patient-prescriptions"], t["prescription-transactions"]).select("medication_id", "prescription_id", "status_label")
+    rx = M.map_prescriptions(t["patient-prescriptions"], t["prescription-transactions"]).select("medication_id", "prescription_id", "status_label", "_ord")
+    med = M.with_prescription_ids(M.map_medications(t["patient-medications"]).select("medication_id"), rx).filter(F.size("prescription_ids") > 0)
     labels = [label for _, _, label, _ in SCRIPT_LABELS]
-    return med.join(rx, "medication_id").groupBy("medication_id").agg(
-        F.countDistinct("prescription_id").alias("n_scripts"), F.count_if(F.col("status_label").isin(*labels)).alias("n_resolved"))
-
-
-@query("record_assembly", """
-WITH e AS (SELECT 'p-' || o_custkey AS patient_id, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 AS page FROM orders),
-f AS (SELECT 'p-' || o_custkey AS patient_id, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 AS page FROM orders),
-pages AS (SELECT DISTINCT patient_id, page FROM e UNION SELECT 'p-' || c_custkey, 0 FROM customer),
-ea AS (SELECT patient_id, page, string_agg('e-' || o_orderkey, ',' ORDER BY o_orderkey) AS s FROM e GROUP BY 1, 2),
-fa AS (SELECT patient_id, page, count(*) AS n FROM f GROUP BY 1, 2)
-SELECT p.patient_id, p.page, CASE WHEN p.page = 0 THEN c_name END AS family_name, coalesce(s, '') AS encounter_ids, coalesce(n, 0) AS n_family_history
-FROM pages p JOIN customer ON 'p-' || c_custkey = p.patient_id LEFT JOIN ea ON ea.patient_id = p.patient_id AND ea.page = p.page LEFT JOIN fa ON fa.patient_id = p.patient_id AND fa.page = p.page""")
+    resolved = rx.filter(F.col("status_label").isin(*labels)).groupBy("medication_id").agg(F.count(F.lit(1)).alias("n_resolved"))
+    return med.join(resolved, "medication_id", "left").select("medication_id", F.size("prescription_ids").cast("bigint").alias("n_scripts"), F.coalesce("n_resolved", F.lit(0)).alias("n_resolved"))
+
+
+def record_sql(children: dict[str, str], page_rows: int) -> str:
+    """Rows of each child table as ``(patient_id, id, o)``, cut into pages; page 0 is there for each parent."""
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS child, patient_id, CAST(id AS VARCHAR) AS id, o FROM ({sql}) x" for name, sql in children.items())
+    return f"""k AS ({rows}), p AS (SELECT child, patient_id, id, o, (row_number() OVER (PARTITION BY child, patient_id ORDER BY o) - 1) // {page_rows} AS page FROM k),
+g AS (SELECT patient_id, page, child, count(*) AS n, string_agg(id, ',' ORDER BY o) AS ids FROM p WHERE patient_id IN (SELECT patient_id FROM parents) GROUP BY ALL)
+SELECT patient_id, 0 AS page, 'patient' AS child, 1 AS n, name AS ids FROM parents UNION ALL SELECT patient_id, page, child, n, ids FROM g"""
+
+
+def record_rows(record, name: str, ids: dict[str, str]):
+    """A row for each page and child table of a record: how many items, and their ids in order."""
+    one = lambda child, n, ids: F.struct(F.lit(child).alias("child"), n.cast("bigint").alias("n"), ids.alias("ids"))
+    text = lambda i: lambda e: e[i].cast("string")
+    listed = [one(c, F.size(c), F.array_join(F.transform(c, text(i)), ",") if i else F.lit(None).cast("string")) for c, i in ids.items()]
+    parts = record.select("patient_id", "page", F.explode(F.array(one("patient", F.col("parent").isNotNull().cast("int"), F.col(f"parent.{name}")), *listed)).alias("c"))
+    return parts.select("patient_id", "page", "c.*").filter("n > 0")
+
+
+# Of tables whose rows may share a place in the order only the number is compared.
+RECORD_CHILDREN_SQL = {
+    "encounters": "SELECT 'p-' || o_custkey AS patient_id, 'e-' || o_orderkey AS id, o_orderkey AS o FROM orders",
+    "observations": "SELECT 'p-' || o_custkey AS patient_id, NULL AS id, (l_partkey * 100000 + l_suppkey) * 8 + l_linenumber AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "conditions": "SELECT 'p-' || p_partkey % 100 AS patient_id, 'd-' || p_partkey AS id, p_partkey AS o FROM part",
+    "allergies": "SELECT 'p-' || s_suppkey % 50 AS patient_id, 'a-' || s_suppkey AS id, s_suppkey AS o FROM supplier",
+    "medications": "SELECT 'p-' || p_partkey % 100 AS patient_id, 'm-' || p_partkey AS id, p_partkey AS o FROM part",
+    "prescriptions": "SELECT 'p-' || o_custkey AS patient_id, NULL AS id, (l_partkey * 100000 + l_suppkey) * 8 + l_linenumber AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "coverages": "SELECT 'p-' || c_custkey % 200 AS patient_id, 'plan-' || c_custkey AS id, c_custkey AS o FROM customer",
+    "family_history": "SELECT 'p-' || o_custkey AS patient_id, 'r-' || o_custkey AS id, o_orderkey AS o FROM orders",
+    "immunizations": "SELECT 'p-' || p_partkey % 100 AS patient_id, 'i-' || p_partkey AS id, p_partkey AS o FROM part",
+    "directives": "SELECT 'p-' || c_custkey AS patient_id, NULL AS id, c_custkey AS o FROM customer",
+    "documents": "SELECT 'p-' || doc_id % 100 AS patient_id, 'doc-' || doc_id AS id, doc_id AS o FROM documents",
+    "addenda": "SELECT 'p-' || o_custkey AS patient_id, 'e-' || o_orderkey AS id, conv_id * 4096 + turn AS o FROM conversations JOIN orders ON o_orderkey = conv_id",
+    "encounter_diagnoses": "SELECT 'p-' || o_custkey AS patient_id, NULL AS id, (l_partkey * 100000 + l_suppkey) * 8 + l_linenumber AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 7",
+    "transactions": "SELECT 'p-' || o_custkey AS patient_id, 'rx-' || user_id AS id, event_id AS o FROM events JOIN orders ON o_orderkey = user_id WHERE user_id IN (SELECT l_orderkey FROM lineitem)",
+    "patient_notes": "SELECT 'p-' || c_custkey AS patient_id, NULL AS id, 0 AS o FROM customer WHERE c_custkey % 4 = 1 OR c_custkey IN (SELECT conv_id FROM conversations)",
+    "practitioners": "SELECT patient_id, 's-' || s_suppkey AS id, s_suppkey AS o FROM (SELECT 'p-' || o_custkey AS patient_id, o_orderkey % 10 AS k FROM orders UNION SELECT 'p-' || o_custkey, o_custkey % 10 FROM orders UNION SELECT 'p-' || o_custkey, l_suppkey % 10 FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN supplier ON s_suppkey = k",
+    "facilities": "SELECT DISTINCT 'p-' || o_custkey AS patient_id, 'f-' || n_nationkey AS id, n_nationkey AS o FROM orders JOIN nation ON n_nationkey = o_custkey % 25",
+}
+
+
+@query("record_assembly", "WITH parents AS (SELECT 'p-' || c_custkey AS patient_id, c_name AS name FROM customer), " + record_sql(RECORD_CHILDREN_SQL, 5))
 def record_assembly(spark, sf):
+    """JN-02 over all child tables, five items a page."""
     t = DriverExport(spark, sf)
-    patients = M.map_patients(t).select("patient_id", "family_name", "_ord")
-    canonical = {
-        "patients": patients,
-        "encounters": M.map_encounters(t).select("patient_id", "encounter_id", "date_of_service", "_ord"),
-        "family_history": M.map_family_history(t["patient-family-medical-history"], t["patient-family-history-diagnoses"]),
+    raw = M.map_export(t)
+    # Before the selection of encounters, and with what was charted alone: what follows from these has queries of its own.
+    raw |= {"encounters": M.map_encounters(t), "observations": M.map_observations(M.keyed(t["patient-encounter-observations"], "PatientPracticeGuid"))}
+    ids = {
+        "encounters": "encounter_id", "observations": None, "conditions": "condition_id", "allergies": "allergy_id", "medications": "medication_id", "prescriptions": None, "coverages": "coverage_id", "family_history": "relative_id",
+        "immunizations": "immunization_id", "directives": None, "documents": "document_id", "addenda": "encounter_id", "encounter_diagnoses": None, "transactions": "prescription_id", "patient_notes": None, "practitioners": "practitioner_id", "facilities": "facility_id",
     }
-    r = M.assemble(canonical, page_rows=5)
-    return r.select("patient_id", "page", F.col("parent.family_name").alias("family_name"), F.array_join("encounters.encounter_id", ",").alias("encounter_ids"),
-                    F.size("family_history").cast("bigint").alias("n_family_history"))
+    return record_rows(M.assemble(raw, page_rows=5), "family_name", ids)
 
 
 @query("date_problems", """

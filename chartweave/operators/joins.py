@@ -8,12 +8,14 @@ skew splitting.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.functions.text import clean_cell, safe_token
 from chartweave.operators.windows import block_scan, first_row, last_row, longest_match, order_block
+from chartweave.session import cut_lineage
 
 PAGE_ROWS = 1000
 
@@ -72,28 +74,30 @@ def assemble_records(
 ) -> DataFrame:
     """JN-02/03. One record per parent: its row plus one array per child table.
 
-    ``children`` maps a name to ``(table, item, order, block)``. All pages of
-    all tables meet in one union and one aggregation on (parent, page), so the
-    record is built by a single shuffle after the numbering. Page 0 carries
-    the parent row; a record with very many children continues on later pages.
+    ``children`` maps a name to ``(table, item, order, block)``. The rows of all tables become
+    one table, each with its item in a column of its own, which is written once. They are
+    numbered together by (parent, kind) and meet in one aggregation on (parent, page), so the
+    shuffles are as many for one child table as for fifteen. Page 0 carries the parent row; a
+    record with very many children continues on later pages, and a parent that holds a third
+    of all children is numbered in bounded blocks.
     """
-    parent_struct = F.struct(*[c for c in parent.columns if c != on])
-    pieces = [parent.select(on, F.lit(0).cast("bigint").alias("page"), parent_struct.alias("parent"))]
+    width = max((len(order) for _, _, order, _ in children.values()), default=1)
+    places = [f"_o{i}" for i in range(width)]
+    row = F.struct(*[c for c in parent.columns if c != on])
+    pieces = [parent.select(on, F.lit("").alias("_kind"), row.alias("parent"))]
     for name, (table, item, order, block) in children.items():
-        pieces.append(paged_collect(table, [on], item, order, block, page_rows, name))
-    union = pieces[0]
-    for piece in pieces[1:]:
-        union = union.unionByName(piece, allowMissingColumns=True)
-    aggs = [F.first("parent", ignorenulls=True).alias("parent")]
-    aggs += [F.first(name, ignorenulls=True).alias(name) for name in children]
-    grouped = union.groupBy(on, "page").agg(*aggs)
+        block = order_block(order[-1]) if block is None else block
+        given = [(F.col(o) if isinstance(o, str) else o).alias(p) for o, p in zip(order, places, strict=False)]
+        pieces.append(table.select(on, F.lit(name).alias("_kind"), *given, block.alias("_b"), item.alias(name)))
+    rows = cut_lineage(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), pieces))
+    numbered = block_scan(rows, [on, "_kind"], places, "_b", {"_rn": ("row_number", None)})
+    # The parent's row has no place, and so no number.
+    paged = numbered.withColumn("page", F.coalesce(F.floor((F.col("_rn") - 1) / page_rows), F.lit(0)).cast("bigint"))
+    entry = lambda n: F.collect_list(F.when(F.col("_kind") == n, F.struct(F.col("_rn").alias("rn"), F.col(n).alias("v")))).alias(n)
+    grouped = paged.groupBy(on, "page").agg(F.first("parent", ignorenulls=True).alias("parent"), *[entry(n) for n in children])
     known = grouped.join(parent.select(on).distinct(), on, "left_semi")
-    return known.select(
-        on,
-        "page",
-        "parent",
-        *[F.coalesce(F.col(n), F.array().cast(union.schema[n].dataType)).alias(n) for n in children],
-    )
+    by_number = lambda n: F.transform(F.array_sort(n, lambda x, y: F.when(x["rn"] < y["rn"], -1).when(x["rn"] > y["rn"], 1).otherwise(0)), lambda e: e["v"]).alias(n)
+    return known.select(on, "page", "parent", *[by_number(n) for n in children])
 
 
 def resolve_codes(df: DataFrame, cols: Mapping[str, str], code_value: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartweave.functions.codes import VITALS, lookup
 from chartweave.functions.dates import parse_date, parse_dt
@@ -14,6 +15,7 @@ from chartweave.operators.filters import ALLERGY_PREFIXES, current_versions, rou
 from chartweave.operators.folds import assemble_blobs
 from chartweave.operators.joins import PAGE_ROWS, assemble_records, keyed, resolve_codes
 from chartweave.operators.sets import residual
+from chartweave.operators.windows import order_block
 from chartweave.sources.sqldump import dump_block
 
 NS = "dump"
@@ -157,15 +159,25 @@ def map_dump_export(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "patients": map_persons(tables["PERSON"], codes), "identifiers": unpivot_aliases(tables["PERSON_ALIAS"]), "encounters": encounters,
         "observations": obs, "conditions": cond, "allergies": allergy, "sections": sections, "documents": artifacts, "undecoded_blobs": undecoded,
         "superseded": superseded(closed, tables["CE_BLOB"], encounters),
+        "event_patients": docs.select("EVENT_ID", F.col("PERSON_ID").alias("patient_id")),
     }
 
 
 def assemble(canonical: Mapping[str, DataFrame], page_rows: int = PAGE_ROWS) -> DataFrame:
-    """JN-03. Whole records of a dump export, one row per patient and page."""
+    """JN-03. Whole records of a dump export, one row per patient and page.
+
+    Note sections and closed versions come with their encounter, parts that can't be decoded
+    with their event; the patient of a closed version is that of its encounter.
+    """
+    tables = {n: canonical[n] for n in ("identifiers", "encounters", "observations", "conditions", "allergies", "documents", "sections")}
+    owner = canonical["encounters"].select("encounter_id", "patient_id").dropDuplicates(["encounter_id"])
+    tables["superseded"] = canonical["superseded"].join(owner, "encounter_id")
+    of_event = canonical["sections"].select("EVENT_ID", "patient_id").unionByName(canonical["event_patients"]).dropDuplicates(["EVENT_ID"])
+    tables["undecoded_blobs"] = canonical["undecoded_blobs"].join(of_event, "EVENT_ID")
+    second = {"identifiers": "position", "sections": "page", "superseded": "page"}
     children = {}
-    for name in ("identifiers", "encounters", "observations", "conditions", "allergies", "documents"):
-        df = canonical[name]
+    for name, df in tables.items():
         item = F.struct(*[c for c in df.columns if c not in ("patient_id", "_ord")])
-        order = ["_ord"] + (["position"] if name == "identifiers" else [])
-        children[name] = (df, item, order, dump_block())
+        block = dump_block() if isinstance(df.schema["_ord"].dataType, T.StructType) else order_block("_ord")
+        children[name] = (df, item, ["_ord", second[name]] if name in second else ["_ord"], block)
     return assemble_records(canonical["patients"].drop("_ord"), children, "patient_id", page_rows)

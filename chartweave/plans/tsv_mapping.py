@@ -8,6 +8,7 @@ them for a sink that needs whole records.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -494,12 +495,36 @@ RECORD_CHILDREN = (
 )
 
 
+def with_prescription_ids(medications: DataFrame, prescriptions: DataFrame) -> DataFrame:
+    """JN-17, MAP-06. Medications with ``prescription_ids``: their different prescriptions, in the order they were first written."""
+    first = prescriptions.filter(F.col("medication_id").isNotNull()).groupBy("medication_id", "prescription_id").agg(F.min("_ord").alias("_ord"))
+    ids = first.groupBy("medication_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "prescription_id"))), lambda x: x["prescription_id"]).alias("prescription_ids"))
+    return medications.join(ids, "medication_id", "left").withColumn("prescription_ids", F.coalesce("prescription_ids", F.array().cast("array<string>")))
+
+
+def record_children(canonical: Mapping[str, DataFrame]) -> dict[str, tuple]:
+    """Every table that belongs to a patient's record, with its items and their order.
+
+    Addenda and diagnosis links get their patient from the encounter, transactions theirs from
+    the prescription, and of practitioners and facilities a record holds those that its
+    encounters and prescriptions name. Tables that ``canonical`` lacks are left out.
+    """
+    tables = {name: canonical[name] for name in RECORD_CHILDREN if name in canonical}
+    patient_of = lambda name, key: canonical[name].select(key, "patient_id").dropDuplicates([key])
+    for name in ("addenda", "encounter_diagnoses"):
+        if name in canonical and "encounters" in canonical:
+            tables[name] = canonical[name].join(patient_of("encounters", "encounter_id"), "encounter_id")
+    if "transactions" in canonical and "prescriptions" in canonical:
+        tables["transactions"] = canonical["transactions"].join(patient_of("prescriptions", "prescription_id"), "prescription_id")
+    if "patient_notes" in canonical:
+        tables["patient_notes"] = canonical["patient_notes"].withColumnRenamed("page", "_ord")
+    for name, key, roles in (("practitioners", "practitioner_id", {"encounters": ("provider_id", "signed_by_id"), "prescriptions": ("prescriber_id",)}), ("facilities", "facility_id", {"encounters": ("facility_id",)})):
+        cited = [canonical[t].select("patient_id", F.col(c).alias(key)) for t, cols in roles.items() if t in canonical for c in cols if c in canonical[t].columns]
+        if name in canonical and cited:
+            tables[name] = reduce(DataFrame.unionByName, cited).filter(F.col(key).isNotNull()).distinct().join(canonical[name], key)
+    return {name: (df, F.struct(*[c for c in df.columns if c not in ("patient_id", "_ord")]), ["_ord"], None) for name, df in tables.items()}
+
+
 def assemble(canonical: Mapping[str, DataFrame], page_rows: int = PAGE_ROWS) -> DataFrame:
     """JN-02. Whole records, one row per patient and page."""
-    children = {}
-    for name in RECORD_CHILDREN:
-        if name in canonical:
-            df = canonical[name]
-            item = F.struct(*[c for c in df.columns if c not in ("patient_id", "_ord")])
-            children[name] = (df, item, ["_ord"], None)
-    return assemble_records(canonical["patients"].drop("_ord"), children, "patient_id", page_rows)
+    return assemble_records(canonical["patients"].drop("_ord"), record_children(canonical), "patient_id", page_rows)
