@@ -37,22 +37,24 @@ def check_identity(spark, sf):
 
 
 @query("anchored_presence", r"""
-WITH w AS (SELECT item_id, regexp_extract(text, '[A-Za-z]{9,}') AS word FROM benchmark)
-SELECT word, count(*) FILTER (regexp_matches(text, '(^|[^\w.])' || word || '($|[^\w.])')) AS standing, count(*) FILTER (contains(text, word)) AS anywhere FROM w, documents WHERE word <> '' GROUP BY 1""")
+WITH w AS (SELECT word, count(*) AS times FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS word FROM benchmark) GROUP BY 1),
+r AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\w.]+')) AS run FROM documents),
+m AS (SELECT word, run FROM w JOIN (SELECT DISTINCT run FROM r) ON contains(run, word)), d AS (SELECT word, doc_id, max(CAST(run = word AS INT)) AS alone FROM m JOIN r USING (run) GROUP BY 1, 2)
+SELECT word, CAST(coalesce(sum(alone * times), 0) AS BIGINT) AS standing, CAST(coalesce(sum(times) FILTER (doc_id IS NOT NULL), 0) AS BIGINT) AS anywhere FROM w LEFT JOIN d USING (word) GROUP BY 1""")
 def anchored_presence(spark, sf):
-    """How often each long benchmark word stands alone, and how often it occurs at all.
+    """How often each benchmark word of four letters or more stands alone in a text, and how often it occurs at all.
 
-    The texts are tokenised once and joined to the words by equality on the
-    token that contains them, instead of pairing every word with every text.
+    The texts are tokenised once. Their different tokens are joined to the words by equality on
+    the first four letters at each place of a token, instead of pairing every word with every
+    text; what matched is then joined to the texts by the token.
     """
-    words = load(spark, sf, "benchmark").select(F.regexp_extract("text", r"[A-Za-z]{9,}", 0).alias("word"), "item_id").filter("word <> ''")
+    words = load(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), F.lit(0))).alias("word"))
     weight = words.groupBy("word").agg(F.count(F.lit(1)).alias("times"))
-    runs = load(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w.]+"), F.lit(0)))).alias("run"))
-    # Every 9-letter start inside a run is a candidate key; few runs are long.
-    starts = F.when(F.length("run") >= 9, F.transform(F.sequence(F.lit(1), F.length("run") - 8), lambda s: F.substring("run", s, F.lit(9))))
-    keyed = runs.filter(F.length("run") >= 9).withColumn("k", F.explode(F.array_distinct(starts)))
-    hits = keyed.join(weight.withColumn("k", F.substring("word", 1, 9)), "k").filter(F.contains("run", "word"))
-    per_doc = hits.groupBy("word", "times", "doc_id").agg(F.max((F.col("run") == F.col("word")).cast("int")).alias("alone"))
+    runs = spread(load(spark, sf, "documents")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w.]+"), F.lit(0)))).alias("run")).filter(F.length("run") >= 4)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda s: F.substring("run", s, F.lit(4))))
+    keyed = runs.select("run").distinct().withColumn("k", F.explode(starts))
+    matched = keyed.join(weight.withColumn("k", F.substring("word", 1, 4)), "k").filter(F.contains("run", "word")).select("run", "word", "times").distinct()
+    per_doc = runs.join(matched, "run").groupBy("word", "times", "doc_id").agg(F.max((F.col("run") == F.col("word")).cast("int")).alias("alone"))
     found = per_doc.groupBy("word").agg(F.sum(F.col("alone") * F.col("times")).alias("standing"), F.sum("times").alias("anywhere"))
     return weight.select("word").join(found, "word", "left").fillna(0, ["standing", "anywhere"])
 
@@ -214,10 +216,10 @@ def row_matching(spark, sf):
 @query("denylist_scan", r"""
 WITH words AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda x: lower(x)) AS w FROM documents),
 tok AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(list_filter(w, lambda x: length(x) >= 4), list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(regexp_extract_all(text, '\b[A-Za-z0-9_-]{24,}\b'), lambda x: lower(x))))) AS token FROM words JOIN documents USING (doc_id)),
-deny AS (SELECT DISTINCT sha256(lower(t)) AS h FROM (SELECT unnest(list_filter(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda x: length(x) >= 12)) AS t FROM benchmark))
+deny AS (SELECT DISTINCT sha256(lower(t)) AS h FROM (SELECT unnest(list_filter(regexp_extract_all(text, '[A-Za-z]{2,}'), lambda x: length(x) >= 4)) AS t FROM benchmark))
 SELECT doc_id AS path, sha256(token) AS sha256 FROM tok WHERE sha256(token) IN (SELECT h FROM deny) AND token NOT IN (SELECT lower(p_name) FROM part)""")
 def denylist_scan(spark, sf):
-    words = F.explode(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) >= 12))
+    words = F.explode(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) >= 4))
     deny = load(spark, sf, "benchmark").select(words.alias("w")).select(F.lower("w").alias("t")).select(F.sha2(F.col("t").cast("binary"), 256).alias("sha256")).distinct()
     allow = load(spark, sf, "part").select(F.lower("p_name").alias("token"))
     return phi.denylist_scan(phi.scannable(spread(load(spark, sf, "documents"))), deny, allow, path="doc_id").withColumnRenamed("doc_id", "path")

@@ -388,14 +388,23 @@ def date_problems(spark, sf):
     return p.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("column_coverage", """
-SELECT 'IsVirtualVisit' AS column_name, count(*) AS filled, count(*) AS n_rows, 'carried' AS fate FROM orders
-UNION ALL SELECT 'Objective', 0, count(*), 'empty' FROM orders
-UNION ALL SELECT 'ChartNoteType', count(*) FILTER (o_orderkey % 2 = 0), count(*), 'consumed' FROM orders
-UNION ALL SELECT 'Plan', 0, count(*), 'empty' FROM orders""")
+_ALWAYS = "PatientPracticeGuid EncounterGuid DateOfService ChiefComplaint Subjective SignedByProviderGuid SignedDateTimeUtc SeenByProviderGuid FacilityGuid IsSoapNote".split()
+
+
+@query("column_coverage", "".join(f"SELECT 'patient-encounters' AS table_name, '{c}' AS column_name, count(*) AS filled, count(*) AS n_rows, 'consumed' AS fate FROM orders UNION ALL " for c in _ALWAYS) + """
+SELECT 'patient-encounters', 'IsVirtualVisit', count(*), count(*), 'carried' FROM orders
+UNION ALL SELECT 'patient-encounters', 'Objective', 0, count(*), 'empty' FROM orders UNION ALL SELECT 'patient-encounters', 'Plan', 0, count(*), 'empty' FROM orders
+UNION ALL SELECT 'patient-encounters', 'ChartNoteType', count(*) FILTER (o_orderkey % 2 = 0), count(*), 'consumed' FROM orders
+UNION ALL SELECT 'patient-encounters', 'Assessment', count(*) FILTER (o_orderkey % 9 <> 0), count(*), 'consumed' FROM orders
+UNION ALL SELECT 'patient-allergy', c, count(*) FILTER (c <> 'Severity' OR s_suppkey % 3 = 0), count(*), 'consumed' FROM supplier, (SELECT unnest(['PatientPracticeGuid', 'AllergyGuid', 'AllergenCategory', 'Substance', 'Severity', 'StartDate', 'IsActive']) AS c) GROUP BY c
+UNION ALL SELECT 'patient-immunizations', c, count(*) FILTER (CASE c WHEN 'DateAdministered' THEN p_partkey % 2 = 0 WHEN 'AdministeredDate' THEN p_partkey % 3 = 0 WHEN 'Comment' THEN false ELSE true END), count(*), CASE c WHEN 'Comment' THEN 'empty' WHEN 'BodySite' THEN 'carried' ELSE 'consumed' END
+  FROM part, (SELECT unnest(['PatientPracticeGuid', 'ImmunizationGuid', 'Vaccine', 'Type', 'Lot', 'DateAdministered', 'AdministeredDate', 'ExpirationDate', 'Comment', 'BodySite']) AS c) GROUP BY c""")
 def column_coverage_query(spark, sf):
-    enc = DriverExport(spark, sf)["patient-encounters"].select("IsVirtualVisit", "Objective", "ChartNoteType", "Plan", "_ord")
-    return column_coverage(enc, ["Objective", "ChartNoteType", "Plan"])
+    """LOSS-04 over every column of three tables, from charted values to columns that nothing reads."""
+    t = DriverExport(spark, sf)
+    carried = {"patient-encounters": ("IsVirtualVisit",), "patient-allergy": (), "patient-immunizations": ("BodySite",)}
+    parts = [column_coverage(t[name], [c for c in t[name].columns if c not in (*kept, "_ord")]).select(F.lit(name).alias("table_name"), "*") for name, kept in carried.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("patient_overview", """

@@ -203,11 +203,11 @@ def attachments(spark, sf):
 
 @query("normalised_text", r"""
 SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n_chars, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS digest,
-  trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents""")
+  coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'section') AS slug FROM documents""")
 def normalised_text(spark, sf):
     norm = text.norm_text("text")
     return load(spark, sf, "documents").select("doc_id", F.length(norm).cast("bigint").alias("n_chars"), F.md5(text.norm_text("text", lower=True).cast("binary")).alias("digest"),
-                                               text.slug(F.substring("text", 1, 40)).alias("slug"))
+                                               text.slug("text").alias("slug"))
 
 
 @query("redacted", r"""
