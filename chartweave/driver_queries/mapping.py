@@ -366,9 +366,16 @@ RECORD_CHILDREN_SQL = {
 def record_assembly(spark, sf):
     """JN-02 over all child tables, five items a page."""
     t = DriverExport(spark, sf)
-    raw = M.map_export(t)
-    # Before the selection of encounters, and with what was charted alone: what follows from these has queries of its own.
-    raw |= {"encounters": M.map_encounters(t), "observations": M.map_observations(M.keyed(t["patient-encounter-observations"], "PatientPracticeGuid"))}
+    of_patients = lambda name: M.keyed(t[name], "PatientPracticeGuid")
+    # Encounters before their selection, and observations as charted: what follows from these has queries of its own.
+    raw = {
+        "patients": M.map_patients(t), "patient_notes": M.map_patient_notes(t), "encounters": M.map_encounters(t), "addenda": M.map_addenda(t), "encounter_diagnoses": M.map_diagnosis_links(t),
+        "observations": M.map_observations(of_patients("patient-encounter-observations")), "conditions": M.map_conditions(of_patients("patient-diagnoses")), "allergies": M.map_allergies(of_patients("patient-allergy"), t["patient-allergy-reactions"]),
+        "medications": M.map_medications(of_patients("patient-medications")), "prescriptions": M.map_prescriptions(of_patients("patient-prescriptions"), t["prescription-transactions"]), "transactions": M.map_transactions(t["prescription-transactions"]),
+        "coverages": M.map_coverages(of_patients("patient-insurances"), t["superbill-insurances"]), "family_history": M.map_family_history(t["patient-family-medical-history"], t["patient-family-history-diagnoses"]),
+        "immunizations": M.map_immunizations(of_patients("patient-immunizations")), "directives": M.map_directives(of_patients("patient-advance-directives")), "documents": M.map_documents(of_patients("patient-documents")),
+        "practitioners": M.map_practitioners(t["providers"]), "facilities": M.map_facilities(t["facilities"]),
+    }
     ids = {
         "encounters": "encounter_id", "observations": None, "conditions": "condition_id", "allergies": "allergy_id", "medications": "medication_id", "prescriptions": None, "coverages": "coverage_id", "family_history": "relative_id",
         "immunizations": "immunization_id", "directives": None, "documents": "document_id", "addenda": "encounter_id", "encounter_diagnoses": None, "transactions": "prescription_id", "patient_notes": None, "practitioners": "practitioner_id", "facilities": "facility_id",

@@ -74,8 +74,8 @@ def assemble_records(
 ) -> DataFrame:
     """JN-02/03. One record per parent: its row plus one array per child table.
 
-    ``children`` maps a name to ``(table, item, order, block)``. The rows of all tables become
-    one table, each with its item in a column of its own, which is written once. They are
+    ``children`` maps a name to ``(table, item, order, block)``. Each table is written once, and
+    their rows become one table, each with its item in a column of its own. They are
     numbered together by (parent, kind) and meet in one aggregation on (parent, page), so the
     shuffles are as many for one child table as for fifteen. Page 0 carries the parent row; a
     record with very many children continues on later pages, and a parent that holds a third
@@ -89,7 +89,7 @@ def assemble_records(
         block = order_block(order[-1]) if block is None else block
         given = [(F.col(o) if isinstance(o, str) else o).alias(p) for o, p in zip(order, places, strict=False)]
         pieces.append(table.select(on, F.lit(name).alias("_kind"), *given, block.alias("_b"), item.alias(name)))
-    rows = cut_lineage(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), pieces))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [cut_lineage(p) for p in pieces])
     numbered = block_scan(rows, [on, "_kind"], places, "_b", {"_rn": ("row_number", None)})
     # The parent's row has no place, and so no number.
     paged = numbered.withColumn("page", F.coalesce(F.floor((F.col("_rn") - 1) / page_rows), F.lit(0)).cast("bigint"))
