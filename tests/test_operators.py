@@ -231,3 +231,16 @@ def test_swapped_chart_fails_identity(spark):
     df = spark.createDataFrame(rows, "item_key string, text string, display_name string, b string").withColumn("birth_date", F.col("b").cast("date"))
     got = {r.item_key: r.status for r in verify.verify_identity(df).collect()}
     assert got == {"ok": "pass", "swapped": "fail", "dob": "fail", "noname": "skip"}
+
+
+def test_files_of_encounters_are_never_sent_to_the_driver(spark):
+    from chartweave.sinks.archive import archive_encounters
+
+    enc = spark.sql("SELECT concat('p', id % 1) AS patient_id, concat('e-', id) AS encounter_id, DATE'2020-01-02' AS date_of_service, 'x' AS encounter_type, 'x' AS note_type, 'x' AS chief_complaint, array(named_struct('kind', 'k', 'title', 't', 'text', 'x')) AS sections FROM range(3)")
+    docs = spark.sql("SELECT concat('p', id % 1) AS patient_id, concat('x_01-02-2020_longer-than-eight_e', id, '.pdf') AS file_name FROM range(1, 3)")
+    verdicts = spark.sql("SELECT concat('e-', id) AS encounter_id, 'pass' AS verdict FROM range(1, 2)")
+    out = archive_encounters(enc, docs, verdicts)
+    assert {(r.encounter_id, r.pdf_name, r.qa_verdict) for r in out.collect()} == {
+        ("e-0", "x_01-02-2020_longer-than-eight_e1.pdf", None), ("e-1", "x_01-02-2020_longer-than-eight_e1.pdf", "pass"), ("e-2", "x_01-02-2020_longer-than-eight_e2.pdf", None)}
+    for df in (joins.match_documents(enc, docs), out):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
