@@ -203,3 +203,19 @@ def test_row_order_is_the_same_for_every_split_size(spark, tmp_path):
         assert [i for i, _ in fhir] == [i for name in sorted(lines) for i in lines[name]] and len({o for _, o in fhir}) == len(fhir)
         seen.append(fhir)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_a_record_of_many_documents_counts_once(spark, tmp_path):
+    from chartweave import driver_queries
+
+    tables = {
+        "customer": "SELECT id AS c_custkey, concat('c', id) AS c_name, 0 AS c_nationkey, 0D AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(1, 3)",
+        "orders": "SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, 1D AS o_totalprice, TIMESTAMP_NTZ'1995-01-01 00:00:00' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(1, 2)",
+        "part": "SELECT id * 100 + 1 AS p_partkey, 'part' AS p_name, 'b' AS p_brand, 't' AS p_type, 1 AS p_size, 1D AS p_retailprice FROM range(1100)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    patients = driver_queries.QUERIES["ccda_patients"](spark, str(tmp_path)).collect()
+    assert sorted(r.source_file for r in patients) == ["p-1:0", "p-2:0"]
+    kept = driver_queries.QUERIES["ccda_leftover_sections"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in kept] == [("p-1:0", "ccda:section:51899-3", "Preserved Source Fields")]
