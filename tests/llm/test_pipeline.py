@@ -29,6 +29,16 @@ def planted(spark):
     return docs.unionByName(spark.createDataFrame([(i, t, "en", "src3", len(t or "")) for i, t in rows], docs.schema))
 
 
+def test_stages_send_small_batches(spark):
+    """Each stage limits the rows of a batch itself, as stages are also run alone."""
+    for _, step in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert hasattr(step, "__wrapped__")
+        with pytest.raises(AttributeError):
+            step(spark, None, SF)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(corpus_pipeline.BATCH_ROWS)
+
+
 def test_stages_one_by_one(spark):
     docs, fate = stage(planted(spark)), {}
     names = [n for n, _ in corpus_pipeline.STAGES]
