@@ -50,6 +50,27 @@ def test_record_pages_and_childless_parents(spark):
     assert [(r.patient_id, r.page, r.parent.name if r.parent else None, list(r.xs)) for r in rows] == [("a", 0, "A", [0, 1]), ("a", 1, None, [2, 3]), ("a", 2, None, [4]), ("b", 0, "B", [])]
 
 
+def test_record_rows_of_a_parent_move_once(spark):
+    # Rows with their items went through two shuffles, one to be numbered and one to meet on their pages.
+    parent = spark.sql("SELECT concat('p', id) AS patient_id, id AS name FROM range(20)")
+    xs = spark.sql("SELECT concat('p', pmod(hash(id), 25)) AS patient_id, id AS x, id AS _ord FROM range(3000)")
+    ys = spark.sql("SELECT IF(id % 7 = 0, NULL, concat('p', id % 3)) AS patient_id, concat('y', id) AS y, -id AS _ord FROM range(500)")
+    children = {"xs": (xs, F.col("x"), ["_ord"], None), "ys": (ys, F.struct("y", F.create_map(F.lit("k"), "y").alias("m")), ["_ord"], None)}
+    got = {}
+    for whole_rows in (1 << 16, 200, 0):
+        df = joins.assemble_records(parent, children, page_rows=7, whole_rows=whole_rows)
+        got[whole_rows] = sorted(str(r) for r in df.collect())
+        # The pages of whole parents need the exchange by parent only; the known parents have one of their own.
+        if whole_rows > 200:
+            plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert sum("Exchange hashpartitioning(" in line and "page" in line for line in plan.splitlines()) == 0
+            assert sum("Exchange hashpartitioning(patient_id" in line and "REPARTITION_BY_COL" in line for line in plan.splitlines()) == 1
+    assert got[1 << 16] == got[200] == got[0]
+    first = joins.assemble_records(parent, children, page_rows=7).filter("patient_id = 'p1'").orderBy("page").collect()
+    assert [x for r in first for x in r.xs] == sorted(r.x for r in xs.filter("patient_id = 'p1'").collect())
+    assert [y.y for r in first for y in r.ys] == [r.y for r in ys.filter("patient_id = 'p1'").orderBy("_ord").collect()]
+
+
 def test_longest_prefix_wins(spark):
     docs = spark.createDataFrame([("d1", "Van_Buren_John_01-02-2020_x.pdf"), ("d2", "Van_Buren_Jo_01-02-2020.pdf"), ("d3", "Nobody_x.pdf"), ("d4", "plain")], "doc_id string, file_name string")
     people = spark.createDataFrame([("p1", "Van Buren", "John"), ("p2", "Van", "Buren"), ("p3", "Van Buren", "Jo"), ("p4", None, "x")], "patient_id string, f string, g string").withColumn("prefix", joins.patient_prefix("f", "g"))
