@@ -323,3 +323,34 @@ def test_hand_labelled_pages_are_mostly_right():
         right += sum((html_text.share_of(tree, row) >= 0.5) == b["y"] for b, row in zip(found, html_text.features(found), strict=True))
         n += len(found)
     assert right / n > 0.95
+
+
+def test_tree_nodes_are_followed_not_searched_for(monkeypatch):
+    # Each bit of a rare gram was searched for at each depth among all nodes: most of the time of scoring.
+    rng = np.random.default_rng(3)
+    counted = {}
+    for length in range(1, lm.DEPTH + 2):
+        codes, n = np.unique(rng.integers(97, 101, (4000, length)) @ (256 ** np.arange(length)[::-1]), return_counts=True)
+        some = rng.random(len(codes)) < 0.6  # so some contexts are kept without shorter ones
+        counted[length] = (codes[some], n[some])
+    tree = lm.weigh(counted)
+    seen = rng.integers(96, 103, (500, lm.DEPTH + 1)) @ (256 ** np.arange(lm.DEPTH + 1)[::-1])
+    tree.links()
+    searches, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: searches.append(1) or search(*a, **k))
+    got = tree.byte_log10(seen.astype(np.uint64))
+    assert len(searches) <= lm.DEPTH + 1
+    nodes = [dict(zip(k.tolist(), zip(x, w), strict=True)) for k, x, w in zip(tree.keys, tree.less, tree.own, strict=True)]
+    for code, value in zip(seen.tolist(), got, strict=True):
+        total = 0.0
+        for bit in range(8):
+            prefix, one, p = (1 << bit) | ((code & 0xFF) >> (8 - bit)), (code & 0xFF) >> (7 - bit) & 1, 0.5
+            for d in range(lm.DEPTH, -1, -1):
+                less, own = nodes[d].get((((code >> 8) & ((1 << 8 * d) - 1)) << 8) | prefix, (None, None))
+                if less is not None:
+                    chance = less * np.float32(2 * one - 1)
+                    p = own * (chance + np.float32(chance < 0)) + (1 - own) * p
+            total += np.log10(p)
+        assert abs(total - value) < 1e-5
+    empty = lm.weigh({})
+    assert np.allclose(empty.byte_log10(seen.astype(np.uint64)), 8 * np.log10(0.5))
