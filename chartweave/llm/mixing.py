@@ -72,6 +72,7 @@ def budgets(leaves: DataFrame, mix: Mix, tree: Sequence[str] = TREE) -> DataFram
 
     One level after the other: with children sorted by capacity per weight, all up to the
     last that can't use its share are filled and the others divide what is left by weight.
+    Each level is written out, as the next one reads it twice.
     """
     usable = leaves
     for depth in range(1, len(tree) + 1):
@@ -94,7 +95,7 @@ def budgets(leaves: DataFrame, mix: Mix, tree: Sequence[str] = TREE) -> DataFram
         # Behind it the lines only fall, as each such child takes more than the line gives.
         line = F.max(F.when(F.col("_node") > F.col("_w") * F.col("_line"), F.col("_line"))).over(after)
         shared = filled.withColumn("_got", F.least("_node", F.coalesce(F.col("_w") * line, F.col("_node")))).select(*node, "_got")
-        level = level.drop("_budget").join(shared.withColumnRenamed("_got", "_budget"), node)
+        level = stage(level.drop("_budget").join(shared.withColumnRenamed("_got", "_budget"), node), f"budgets-{depth}")
     got = level.select(*tree, F.floor(F.col("_budget") + 1e-6).cast("long").alias("target"))
     return leaves.join(got, list(tree), "left").withColumn("target", F.coalesce("target", F.lit(0).cast("long")))
 
@@ -103,6 +104,7 @@ def cuts(docs: DataFrame, planned: DataFrame, mix: Mix, tree: Sequence[str] = TR
     """Leaves with ``full`` (whole epochs) and ``last``: the largest hash that still fits in epoch ``full``, or null.
 
     ``docs`` has ``(*tree, id, tokens)``. The prefix may not exceed what the whole epochs leave.
+    At most one bucket of a leaf is the one it ends in.
     """
     leaf = planned.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.col("tokens"))).otherwise(0).cast("int")).withColumn("left", F.when(F.col("tokens") > 0, F.col("target") - F.col("full") * F.col("tokens")).otherwise(F.lit(0)))
     rows = docs.select(*tree, "id", F.col("tokens").alias("n")).join(leaf.filter("left > 0").select(*tree, "full", "left"), list(tree)).withColumn("h", seeded(F.coalesce(F.col("id").cast("string"), F.lit("")), mix.seed, F.col("full")))
@@ -110,12 +112,12 @@ def cuts(docs: DataFrame, planned: DataFrame, mix: Mix, tree: Sequence[str] = TR
     sums = rows.groupBy(*tree, "bucket").agg(F.sum("n").alias("n"), F.max("left").alias("left"), F.max("h").alias("h"))
     order = Window.partitionBy(*tree).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = sums.withColumn("sum", F.sum("n").over(order))
-    whole = run.filter("sum <= left").groupBy(*tree).agg(F.max("h").alias("below"))
-    edge = run.filter("sum > left AND sum - n <= left").select(*tree, "bucket", (F.col("left") - F.col("sum") + F.col("n")).alias("room"))
-    inside = rows.join(edge, [*tree, "bucket"]).groupBy(*tree, "h").agg(F.sum("n").alias("n"), F.max("room").alias("room"))
+    ends = F.expr("sum > left AND sum - n <= left")
+    edge = stage(run.groupBy(*tree).agg(F.max(F.when(F.col("sum") <= F.col("left"), F.col("h"))).alias("below"), F.max(F.when(ends, F.col("bucket"))).alias("bucket"), F.max(F.when(ends, F.col("left") - F.col("sum") + F.col("n"))).alias("room")), "leaf-edges")
+    inside = rows.join(edge.filter("bucket IS NOT NULL").drop("below"), [*tree, "bucket"]).groupBy(*tree, "h").agg(F.sum("n").alias("n"), F.max("room").alias("room"))
     order = Window.partitionBy(*tree).orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fit = inside.withColumn("sum", F.sum("n").over(order)).filter("sum <= room").groupBy(*tree).agg(F.max("h").alias("within"))
-    return leaf.join(whole, list(tree), "left").join(fit, list(tree), "left").withColumn("last", F.coalesce("within", "below")).drop("below", "within", "left")
+    return leaf.join(edge.select(*tree, "below"), list(tree), "left").join(fit, list(tree), "left").withColumn("last", F.coalesce("within", "below")).drop("below", "within", "left")
 
 
 def with_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -126,8 +128,8 @@ def with_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def plan(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """For each leaf its tokens, target, whole epochs and the cut of the last one."""
-    leaves = rows.groupBy(*TREE).agg(F.sum("tokens").alias("tokens"))
-    return cuts(rows, budgets(leaves, mix), mix)
+    leaves = stage(rows.groupBy(*TREE).agg(F.sum("tokens").alias("tokens")), "leaf-sums")
+    return cuts(rows, stage(budgets(leaves, mix), "leaf-targets"), mix)
 
 
 def select_ids(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:

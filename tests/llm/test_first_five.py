@@ -156,6 +156,14 @@ def test_mixing_long_leaf_uses_buckets(spark):
     assert Counter(tuple(r) for r in mixing.select_ids(rows, mix).collect()) == Counter(brute.mix_rows([tuple(r) for r in rows.collect()], mix))
 
 
+def test_mixing_plans_stay_small(spark, monkeypatch):
+    """Each table that is read twice is written first: the driver holds no plan with a join for every path through the tree."""
+    joins = []
+    monkeypatch.setattr(mixing, "stage", lambda df, *a, **k: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or stage(df, *a, **k))
+    mixing.mix_documents(load(spark, SF, "documents"), mixing.Mix(share=0.6))
+    assert len(joins) >= 2 and max(joins) <= 8
+
+
 # --- SimHash
 
 def test_golay_keys_find_every_near_segment():
