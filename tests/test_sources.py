@@ -12,7 +12,7 @@ from chartweave.sources import detect, sqldump, tsv
 from chartweave.sources.ccda import parse_documents, read_ccda
 from chartweave.sources.documents import require_files, scan_documents
 from chartweave.sources.fhir import read_fhir
-from chartweave.plans.ccda_mapping import map_ccda
+from chartweave.plans.ccda_mapping import SECTIONS, map_ccda
 
 
 def write(root, name, text, encoding="utf-8"):
@@ -155,6 +155,25 @@ def test_ccd_round_trip_and_pages(spark, tmp_path):
     assert "acuity = Chronic" in c["leftover_sections"].first().text
 
 
+def test_ccda_parts_of_a_section_share_one_parse(spark):
+    """Vitals, smoking status, visits and notes keep their own rules, and a document is parsed once for all of them."""
+    seen = '<observation><code code="{}"/><value value="{}" unit="u" displayName="Never"/></observation>'
+    group = "<entry><organizer><effectiveTime value='20200102'/><component>{}</component><component>{}</component></organizer></entry>".format(seen.format("a", 1), seen.format("b", 2))
+    part = lambda name, body: f'<component><section><code code="{SECTIONS[name]}"/>{body}</section></component>'
+    body = part("vitals", group) + part("results", group) + part("social", f'<entry>{seen.format("72166-2", 3)}</entry><entry>{seen.format("c", 4)}</entry>' + group)
+    body += part("encounters", '<entry><encounter><id root="feedface-1"/><code displayName="Visit"/></encounter></entry><entry><act/></entry>') + part("notes", '<entry><act><code displayName="Note"/><text>x &amp; y</text></act></entry><entry><encounter/></entry>')
+    xml = f'<ClinicalDocument xmlns="urn:hl7-org:v3"><component><structuredBody>{body}</structuredBody></component></ClinicalDocument>'
+    c = map_ccda(parse_documents(spark.createDataFrame([("a.xml", xml, 0)], "source_file string, xml string, _ord long")))
+    rows = sorted((r.category, r.code, r.display, r.value, r.unit, r.effective_at and str(r.effective_at), r.position) for r in c["observations"].collect())
+    measured = [("a", None, "1", "u", "2020-01-02 00:00:00", 0), ("b", None, "2", "u", "2020-01-02 00:00:00", 1)]
+    assert rows == [("laboratory", *m) for m in measured] + [("social-history", None, "Tobacco use", "Never", None, None, 0)] + [("vital-signs", *m) for m in measured]
+    visits = sorted(((r.encounter_type, r.note_type, [x.text for x in r.sections]) for r in c["encounters"].collect()), key=str)
+    assert visits == [("Visit", "Visit", []), (None, "Note", ["x & y"])]
+    assert c["encounters"].filter("encounter_type = 'Visit'").first().encounter_id == "feedface-1"
+    for name in ("observations", "encounters"):
+        assert c[name]._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
 def test_ccda_is_hardened(spark):
     bomb = '<?xml version="1.0"?><!DOCTYPE x [<!ENTITY a "boom"><!ENTITY f SYSTEM "file:///etc/hostname">]><ClinicalDocument xmlns="urn:hl7-org:v3"><title>plain</title><recordTarget><patientRole><patient><name><family>Lee</family></name></patient></patientRole></recordTarget></ClinicalDocument>'
     df = spark.createDataFrame([("a.xml", bomb, 0)], "source_file string, xml string, _ord long")
