@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartweave.driver_queries.base import load, query, spread
+from chartweave.driver_queries.base import dealt, load, query, spread
 from chartweave.plans import phi, qa, verify
 
 # A name that occurs in its document, one that only occurs inside a longer
@@ -130,7 +130,7 @@ def crashed_checks(spark, sf):
 SELECT CAST(doc_id AS VARCHAR) AS item_key, CASE WHEN doc_id % 7 = 6 THEN 'skip' WHEN doc_id % 5 = 0 THEN 'fail' WHEN doc_id % 7 IN (0, 2, 3) THEN 'pass' ELSE 'fail' END AS status FROM documents""")
 def fuzzy_identity(spark, sf):
     """VER-03/04 over whole texts, with the name and the birth date put into their middle or at their end."""
-    d = load(spark, sf, "documents").withColumn("k", F.col("doc_id") % 7).withColumn("birth_date", F.expr("date_add(DATE'1950-01-01', CAST(doc_id % 9000 AS INT))"))
+    d = dealt(load(spark, sf, "documents")).withColumn("k", F.col("doc_id") % 7).withColumn("birth_date", F.expr("date_add(DATE'1950-01-01', CAST(doc_id % 9000 AS INT))"))
     short, long = F.concat(F.lit("Name Q"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit("Family")), F.concat(F.lit("Maximiliana Theodora Q"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(" von Hohenfels-Wittgenau"))
     name = F.when(F.col("k").isin(1, 3), short).when(F.col("k") == 6, F.lit("")).otherwise(long)
     shown = (

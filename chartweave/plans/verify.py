@@ -69,7 +69,7 @@ def _candidates(x: Column, least: float) -> Column:
     # Rarest in the text itself, by how much it shrinks without the pair.
     counted = F.array_sort(F.transform(pairs, lambda g: F.struct((F.length(h) - F.length(F.replace(h, g, F.lit("")))).alias("c"), g.alias("g"))))
     rare = F.filter(F.slice(counted, 1, F.greatest(missing, F.lit(0))), lambda r: r["c"] > 0)
-    inside = F.when((m <= l) & (l >= 2), _bind(F.struct(rare.alias("rare"), F.split(h, " ").alias("w")), lambda y: _windows(y["w"], size, lambda t: F.exists(y["rare"], lambda r: F.contains(t, r["g"])), y["rare"])))
+    inside = F.when((m <= l) & (l >= 2), _bind(F.transform(rare, lambda r: r["g"]), lambda g: F.when(F.size(g) > 0, _windows_with(h, size, g))))
     near_end = F.when(F.length(h) <= size, h).otherwise(_bind(F.substring(h, -size - 1, size + 1), lambda t: F.when(F.locate(" ", t) > 0, F.substring(t, F.locate(" ", t) + 1, size))))
     reaches = lambda t: 2 * F.least(F.length(t), l) >= least * (F.length(t) + l) - 1e-9
     end = F.when(near_end.isNotNull(), _bind(F.split(near_end, " "), lambda w: _windows(w, size, reaches)))
@@ -77,12 +77,18 @@ def _candidates(x: Column, least: float) -> Column:
     return F.concat(F.coalesce(inside, none), F.coalesce(end, none))
 
 
-def _windows(words: Column, size: Column, keep, needed: Column | None = None) -> Column:
+def _windows_with(h: Column, size: Column, pairs: Column) -> Column:
+    """Windows of ``size`` characters at each word that hold one of ``pairs``, found as the text is read once."""
+    literal = F.array_join(F.transform(pairs, lambda g: F.regexp_replace(g, r"(\p{Punct})", r"\\$1")), "|")
+    # A word begins where no character but a blank stands before it.
+    pattern = F.concat(F.lit("(?s)(?<![^ ])(?=.{0,"), (size - 2).cast("string"), F.lit("}(?:"), literal, F.lit("))(?=(.{1,"), size.cast("string"), F.lit("}))"))
+    return F.regexp_extract_all(h, pattern, F.lit(1))
+
+
+def _windows(words: Column, size: Column, keep) -> Column:
     """Windows at each word that ``keep`` takes; places are filtered first, so that only what is kept is held."""
     at = lambda i: F.substring(F.array_join(F.slice(words, i, F.floor(size / 2).cast("int") + 1), " "), F.lit(1), size)
-    places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: keep(at(i)))
-    found = F.transform(places, at)
-    return found if needed is None else F.when(F.size(needed) > 0, found)
+    return F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: keep(at(i))), at)
 
 
 def with_name_ratio(df: DataFrame, needle: str, text: str, out: str = "ratio", least: float = NAME_RATIO) -> DataFrame:
@@ -102,8 +108,8 @@ def with_name_ratio(df: DataFrame, needle: str, text: str, out: str = "ratio", l
 
 def date_present(day: Column | str, text: Column | str) -> Column:
     """Any spelling of the date in the text, by plain containment."""
-    hay = norm_text(text, lower=True)
-    return F.coalesce(F.exists(date_spellings(day, ladder=True), lambda s: F.contains(hay, F.lower(s))), F.lit(False))
+    there = _bind(norm_text(text, lower=True), lambda hay: F.exists(date_spellings(day, ladder=True), lambda s: F.contains(hay, F.lower(s))))
+    return F.coalesce(there, F.lit(False))
 
 
 def _level(df: DataFrame, level: str, status: Column, detail: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,6 +240,21 @@ def test_name_ratio_against_brute_force(spark, least):
     assert sum(0 < (r.ratio or 0) < 1 for r in got) > 40
 
 
+def test_windows_with_a_pair_begin_at_words(spark):
+    """As cutting a window at every word would give them, whatever characters the pairs have."""
+    rows = [("ab c. d$ e\\ (f ab", ["b ", ". "], 4), ("x (f é\U0001f600 y a|b", ["(f", "|b", "é\U0001f600"], 3), ("one", ["ne"], 2), ("one", ["ne"], 3), ("a" * 50 + " ab", ["ab"], 9)]
+    got = spark.createDataFrame(rows, "h string, p array<string>, n int").select("*", verify._windows_with(F.col("h"), F.col("n"), F.col("p")).alias("w")).collect()
+    for r in got:
+        starts = [0] + [i + 1 for i, c in enumerate(r.h) if c == " "]
+        assert r.w == [t for t in (r.h[i : i + r.n] for i in starts) if any(p in t for p in r.p)], r
+
+
+def test_text_is_normalised_once_for_all_spellings_of_a_date(spark):
+    plan = spark.sql("SELECT DATE'2020-01-02' AS d, concat('x ', id) AS t FROM range(1)").select(verify.date_present("d", "t"))._jdf.queryExecution().analyzed().toString()
+    hays = [x.lstrip() for x in plan.lower().split("lambdafunction(contains(")[1:]]
+    assert hays and all(x.startswith(("lambda x", "namedlambdavariable")) for x in hays)
+
+
 def test_few_windows_of_a_long_text_are_compared(spark):
     name, text = "maximiliana theodora von hohenfels wittgenau", "the visit was on a rainy day and all went well " * 2000
     rows = [(text,), (f"{text} maximiliana theodore von hohenfels wittgenau {text}",)]
@@ -246,6 +262,23 @@ def test_few_windows_of_a_long_text_are_compared(spark):
     assert sizes[0] <= 6 < sizes[1] <= 24  # of 22,000 and 44,000; the first are those at the end, where no slack is left
 
 
+@pytest.mark.parametrize("name", ["fuzzy_identity"])
+def test_long_row_groups_are_dealt_over_the_cores(spark, name, tmp_path, monkeypatch):
+    """A file of one row group is cut into splits of which only one has rows."""
+    from chartweave import driver_queries
+    one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    one.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    written = []
+    monkeypatch.setattr(search, "write_index", lambda df, folder, write=search.write_index: (written.append(df), write(df, folder)))
+    try:
+        got = driver_queries.QUERIES[name](spark, str(tmp_path))
+        sizes = [r["count"] for r in (written or [got])[0].groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert max(sizes) < one.count() / 2
+
+
 def test_swapped_chart_fails_identity(spark):
     page = "Clinic chart. Patient: {} Date of birth: {} Boilerplate that every chart shares."
     rows = [("ok", page.format("Anna Lee", "May 6, 1970"), "Anna Lee", "1970-05-06"), ("swapped", page.format("John Doe", "May 6, 1970"), "Anna Lee", "1970-05-06"), ("dob", page.format("Anna Lee", "May 7, 1970"), "Anna Lee", "1970-05-06"), ("noname", "x", None, None)]
