@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from chartweave.driver_queries.base import load, query, spread
+from chartweave.driver_queries.base import dealt, load, query
 from chartweave.driver_queries.exports import DriverExport
 from chartweave.operators import filters, folds, joins, search, sets, windows
 from chartweave.plans import tsv_mapping as M
@@ -221,7 +221,7 @@ def indexed_search(spark, sf):
     """WIN-08 from trigram bitmaps over all documents: long words, words shorter than a trigram, and a rare one."""
     index = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("display_name"), F.col("text").alias("search"))
     folder = f"{staging_folder(spark)}/search-{uuid.uuid4().hex}"
-    search.write_index(spread(index), folder)
+    search.write_index(dealt(index, per_core=1), folder)
     parts = [search.search_index(spark, folder, q).select(F.lit(q).alias("query"), "id", "display_name", "score") for q in ("src1 thea", "de @", "akia")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from chartweave.operators.windows import search_hay, search_patients, search_tokens
 
 GRAM = 3
+#: Every trigram, one from each character on: the text is read once, where cutting them by their places would count to each place.
+GRAMS = r"(?s)(?=(.{3}))."
 #: Characters of a page whose trigrams are cut at once.
 CHUNK = 1000
 #: Bits of a bitmap; fixed by the bitmap functions.
@@ -33,7 +35,7 @@ def write_index(index: DataFrame, folder: str) -> None:
     # Chunks are rows of their own, so that no long text becomes one long list of trigrams.
     starts = F.sequence(F.lit(0), F.floor((F.length("hay") - GRAM) / CHUNK).cast("int"))
     chunks = pages.select("slot", "bucket", F.explode(F.transform(starts, lambda k: F.substring("hay", k * CHUNK + 1, CHUNK + GRAM - 1))).alias("c"))
-    grams = chunks.select("slot", "bucket", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("c") - GRAM + 1), lambda i: F.substring("c", i, F.lit(GRAM))))).alias("gram"))
+    grams = chunks.select("slot", "bucket", F.explode(F.array_distinct(F.regexp_extract_all("c", F.lit(GRAMS), F.lit(1)))).alias("gram"))
     postings = grams.groupBy("gram", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("pages"))
     # Sorted by trigram: a lookup skips the row groups of all others.
     postings.repartitionByRange("gram").sortWithinPartitions("gram", "bucket").write.mode("overwrite").parquet(f"{folder}/postings")

@@ -262,7 +262,7 @@ def test_few_windows_of_a_long_text_are_compared(spark):
     assert sizes[0] <= 6 < sizes[1] <= 24  # of 22,000 and 44,000; the first are those at the end, where no slack is left
 
 
-@pytest.mark.parametrize("name", ["fuzzy_identity"])
+@pytest.mark.parametrize("name", ["fuzzy_identity", "indexed_search"])
 def test_long_row_groups_are_dealt_over_the_cores(spark, name, tmp_path, monkeypatch):
     """A file of one row group is cut into splits of which only one has rows."""
     from chartweave import driver_queries
@@ -279,6 +279,17 @@ def test_long_row_groups_are_dealt_over_the_cores(spark, name, tmp_path, monkeyp
     assert max(sizes) < one.count() / 2
 
 
+def test_trigrams_of_a_long_chunk_are_cut_in_one_pass(spark, tmp_path, monkeypatch):
+    """Cutting each by its place counts characters from the start: quadratic in the chunk."""
+    monkeypatch.setattr(search, "CHUNK", 300_000)
+    text = "".join(chr(97 + (i * i // 7 + i) % 26) for i in range(250_000)) + " \U0001f600\nzq"
+    started = time.monotonic()
+    search.write_index(spark.createDataFrame([(1, "n", text)], "id int, display_name string, search string"), str(tmp_path / "i"))
+    assert time.monotonic() - started < 30
+    hay = text.lower() + " n  "
+    assert {r.gram for r in spark.read.parquet(str(tmp_path / "i/postings")).collect()} == {hay[i : i + 3] for i in range(len(hay) - 2)}
+
+
 def test_swapped_chart_fails_identity(spark):
     page = "Clinic chart. Patient: {} Date of birth: {} Boilerplate that every chart shares."
     rows = [("ok", page.format("Anna Lee", "May 6, 1970"), "Anna Lee", "1970-05-06"), ("swapped", page.format("John Doe", "May 6, 1970"), "Anna Lee", "1970-05-06"), ("dob", page.format("Anna Lee", "May 7, 1970"), "Anna Lee", "1970-05-06"), ("noname", "x", None, None)]
