@@ -15,6 +15,7 @@ from chartweave.functions import dates as D
 from chartweave.functions.codes import VITAL_LABEL_BY_CODE, VITAL_ROW_ORDER, lookup
 from chartweave.functions.text import fmt_copay, strip
 from chartweave.operators.windows import block_scan, last_row, order_block
+from chartweave.session import cut_lineage
 
 FLOWSHEET_COLUMNS = 10
 # Chart sections and whether they show by default.
@@ -129,12 +130,14 @@ def vitals_flowsheet(enc: DataFrame, obs: DataFrame, k: int = FLOWSHEET_COLUMNS)
     No pairs of encounters are built. Encounters with vitals get their
     position in time per patient; an encounter with ``n`` earlier ones shows
     positions ``n-k+1 .. n``, which is an equality join on (patient, position).
+    Vitals and dated encounters are read several times, so both are written first.
     """
     v = obs.filter((F.col("category") == "vital-signs") & F.col("value").isNotNull() & F.col("encounter_id").isNotNull())
     v = v.select("encounter_id", F.coalesce(lookup(VITAL_LABEL_BY_CODE, "code"), "display", F.lit("")).alias("label"), "value", "_ord")
+    v = cut_lineage(v)
     cells = last_row(v, ["encounter_id", "label"], ["_ord"]).select("encounter_id", "label", "value")
     first_seen = v.groupBy("encounter_id").agg(F.min("_ord").alias("_seen"))
-    dated = enc.filter(F.col("date_of_service").isNotNull()).select("patient_id", "encounter_id", "date_of_service")
+    dated = cut_lineage(enc.filter(F.col("date_of_service").isNotNull()).select("patient_id", "encounter_id", "date_of_service"))
     prior = dated.join(first_seen, "encounter_id").withColumn("_late", -F.col("_seen"))
     block = F.trunc("date_of_service", "month")
     placed = block_scan(prior, ["patient_id"], ["date_of_service", "_late"], block, {"pos": ("row_number", None)}).select(

@@ -309,3 +309,12 @@ def test_files_of_encounters_are_never_sent_to_the_driver(spark):
         ("e-0", "x_01-02-2020_longer-than-eight_e1.pdf", None), ("e-1", "x_01-02-2020_longer-than-eight_e1.pdf", "pass"), ("e-2", "x_01-02-2020_longer-than-eight_e2.pdf", None)}
     for df in (joins.match_documents(enc, docs), out):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flowsheet_maps_its_inputs_once(spark):
+    """Encounters and vitals are read several times: what they are mapped from is not in the plan that reads them."""
+    enc = spark.range(6).selectExpr("'p' AS patient_id", "id AS encounter_id", "date_add(DATE'2020-01-01', CAST(id AS INT)) AS date_of_service")
+    obs = spark.range(6).selectExpr("id AS encounter_id", "'vital-signs' AS category", "'8302-2' AS code", "'h' AS display", "CAST(id AS STRING) AS value", "id AS _ord")
+    got = views.vitals_flowsheet(enc, obs, k=2)
+    assert "Range (" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.encounter_id, r.column_no, r.value) for r in got.collect()) == [(i, n, str(i - n)) for i in range(6) for n in (1, 2) if i >= n]
