@@ -7,6 +7,8 @@ elements it lifts; all other top-level elements stay as JSON text in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -298,26 +300,27 @@ def map_coverages(resources: DataFrame) -> DataFrame:
 DOCUMENT = f"type {CONCEPT}, date string, context struct<encounter:array<{REF}>>, content array<struct<attachment:struct<contentType:string,data:string,title:string,url:string>>>"
 
 
-def map_documents(resources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def map_documents(resources: DataFrame, trim: Callable[[Column], Column] = strip) -> tuple[DataFrame, DataFrame, DataFrame]:
     """MAP-28. (notes, artifacts, leftovers) of document references.
 
     A note is the first attachment of a text kind that decodes to visible
-    text. Markup is reduced to text and never kept as HTML.
+    text, without what ``trim`` takes off its ends. Markup is reduced to text
+    and never kept as HTML. References that repeat an id or an order stay apart.
     """
-    d = parsed(resources, "DocumentReference", DOCUMENT)
+    d = parsed(resources, "DocumentReference", DOCUMENT).withColumn("_row", F.monotonically_increasing_id())
     parts = d.select(
-        "id", "patient_id", "source_file", "_ord", "body", concept_text(F.col("r.type")).alias("_type"), F.col("r.date").alias("_date"),
+        "_row", "id", "patient_id", "source_file", "_ord", "body", concept_text(F.col("r.type")).alias("_type"), F.col("r.date").alias("_date"),
         ref_id(first(F.col("r.context.encounter"))["reference"]).alias("encounter_id"), F.posexplode_outer("r.content").alias("i", "c"))
     ct = F.lower(F.coalesce("c.attachment.contentType", F.lit("")))
     has = F.col("c.attachment").isNotNull()
     wordy = ct.startswith("text/") | ct.contains("html") | (ct == "")
     parts = parts.withColumns({"ct": ct, "_raw": F.when(has & wordy, decode_attachment("c.attachment.data")), "_bin": has & ~(ct.startswith("text/") | ct.contains("html"))})
     parts = with_html_text(parts, {"_html": F.when(F.col("ct").contains("html"), F.col("_raw"))})
-    text = F.nullif(strip(F.when(F.col("ct").contains("html"), F.col("_html")).otherwise(F.col("_raw"))), F.lit(""))
+    text = F.nullif(trim(F.when(F.col("ct").contains("html"), F.col("_html")).otherwise(F.col("_raw"))), F.lit(""))
     parts = parts.withColumn("text", text)
     # One aggregation per document picks its first readable and first binary part.
-    keep = ["id", "patient_id", "source_file", "body", "_type", "_date", "encounter_id"]
-    full = parts.groupBy("_ord").agg(
+    keep = ["id", "patient_id", "source_file", "body", "_type", "_date", "encounter_id", "_ord"]
+    full = parts.groupBy("_row").agg(
         *[F.first(c).alias(c) for c in keep],
         F.min_by(F.struct(F.col("c.attachment.title").alias("title"), "text"), F.when(F.col("text").isNotNull(), F.col("i"))).alias("n"),
         F.min_by(F.struct(F.col("c.attachment").alias("a"), "ct"), F.when(F.col("_bin"), F.col("i"))).alias("b"))

@@ -266,3 +266,19 @@ def test_differing_leaves_by_their_kind(spark):
     assert [x[1] for x in got(table(row("k")), table(row("k", d=-0.0)))] == ["d", "d"]
     assert [x[:2] for x in got(table(row(None)), table(row(None, a="2")))] == [("", "a"), ("", "a")]
     assert loss.round_trip_diff(table(row("k", raw="FF")), table(row("k", raw="EFBFBD")), ["k"]).count() == 2
+
+
+def test_references_that_repeat_or_hold_white_space_only(spark, tmp_path):
+    # Rows of one doc_id were merged, and texts without visible characters lost their title and digest.
+    import duckdb
+
+    from chartweave import driver_queries
+    from tests.oracle import compare
+
+    texts = [None, "", " ", "\n", "\t \n", " x\n", "\u00a0x ", "\x0bx\x0b", "\u3000", "\x00", "x\u0085\n", "a &amp; b"]
+    rows = [(8 * i + m, t, "en", "src1") for i, t in enumerate(texts) for m in range(8)] + [(1, "again", "en", "src2"), (1, "again", "de", "src2"), (4, "z", "fr", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    ok, n, _, note = compare(spark, con, "fhir_documents", driver_queries.QUERIES["fhir_documents"], driver_queries.SQL["fhir_documents"], str(tmp_path))
+    assert ok and n == len(rows), note
