@@ -354,3 +354,19 @@ def test_tree_nodes_are_followed_not_searched_for(monkeypatch):
         assert abs(total - value) < 1e-5
     empty = lm.weigh({})
     assert np.allclose(empty.byte_log10(seen.astype(np.uint64)), 8 * np.log10(0.5))
+
+
+def test_no_gram_is_left_out_of_the_tree(spark, monkeypatch, many_partitions):
+    # The tree held the grams seen most only; next bytes of all others counted as never seen.
+    docs = load(spark, SF, "documents").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    codes_of = lambda t: lm.grams(np.frombuffer(lm.framed(None if t is None else t.encode()), np.uint8)).astype(np.int64)
+    seen = np.concatenate([codes_of(t) for i, t in rows if brute.remainder(i, 10) != 0])
+    tree = lm.weigh({n: np.unique(seen & ((1 << 8 * n) - 1), return_counts=True) for n in range(1, lm.DEPTH + 2)})
+    want = sorted((str(i), tree.byte_log10(codes_of(t)).sum()) for i, t in rows)
+    for limit, held in ((2000, lm.HELD if hasattr(lm, "HELD") else 0), (0, 500)):
+        for name in ("MAX_GRAMS", "FREQUENT_GRAMS"):
+            monkeypatch.setattr(lm, name, limit, raising=False)
+        monkeypatch.setattr(lm, "HELD", held, raising=False)
+        got = sorted((str(r.doc_id), r.score) for r in lm.evaluate(docs).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-4)
