@@ -282,3 +282,12 @@ def test_references_that_repeat_or_hold_white_space_only(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     ok, n, _, note = compare(spark, con, "fhir_documents", driver_queries.QUERIES["fhir_documents"], driver_queries.SQL["fhir_documents"], str(tmp_path))
     assert ok and n == len(rows), note
+
+
+def test_entries_are_numbered_before_their_text_is_made(spark):
+    # The text of each measurement was shuffled to be numbered.
+    obs = spark.sql("SELECT 'p' AS patient_id, id AS _ord, 'laboratory' AS category, concat('c', id) AS code, 'd' AS display, 'v' AS value, 'u' AS unit, TIMESTAMP'2020-01-02 03:04:05' AS effective_at FROM range(20)")
+    rows = ccd.entries({"observations": obs}, page_rows=8)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "<organizer" in plan and "<organizer" not in plan[plan.index("Window"):]
+    assert sorted((r.page, r.rn, r.line) for r in rows.collect()) == [(i // 8, i + 1, "d v u") for i in range(20)]
